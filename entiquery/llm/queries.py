@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, shared, token_files
+from . import packing, shared, simhash, token_files
 
 
 def _word_tokenizer() -> str:
@@ -22,6 +22,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and components of links within 3 bits."""
+    return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"), words=3)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack the tokens of all documents into sequences of at most 2048."""
     docs = shared.table(spark, sf_dir, "documents")
@@ -31,6 +36,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
+    "op7_simhash": op7_simhash,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
