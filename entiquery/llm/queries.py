@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, shared, simhash, token_files
+from . import licenses, packing, shared, simhash, token_files
 
 
 def _word_tokenizer() -> str:
@@ -34,10 +34,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=2048)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.license_labels(shared.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op7_simhash": op7_simhash,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: No entry where SQL cannot express the operator; tests/llm compares those with brute force.

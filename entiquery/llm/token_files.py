@@ -54,14 +54,16 @@ def encode_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
     code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     code[: len(ranks)] = length - 1
     control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]]
+    widest = int(length.max()) if len(length) else 1  # columns beyond it hold nothing
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :widest][np.arange(widest, dtype=np.uint8) < length[:, None]]
     return control.tobytes(), data.tobytes()
 
 
 def decode_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
     length = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < length[:, None]] = np.frombuffer(data, np.uint8)
+    widest = int(length.max()) if n else 1
+    out[:, :widest][np.arange(widest, dtype=np.uint8) < length[:, None]] = np.frombuffer(data, np.uint8)
     return out.view("<u4").reshape(-1)
 
 
@@ -120,11 +122,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                c = np.bincount(np.frombuffer(x.as_py(), kind))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
+            _, offsets, data = b.column(0).buffers()
+            ends = np.frombuffer(offsets, np.int32)[b.column(0).offset :][[0, b.num_rows]]
+            c = np.bincount(np.frombuffer(data, np.uint8)[ends[0] : ends[1]].view(kind)) if ends[1] > ends[0] else total[:0]
+            if len(c) > len(total):
+                total = np.pad(total, (0, len(c) - len(total)))
+            total[: len(c)] += c
         ids = np.flatnonzero(total)
         yield shared.batch(_COUNTS, ids, total[ids])
 

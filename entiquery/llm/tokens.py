@@ -23,6 +23,15 @@ PLAIN = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
 #: WORD_PATTERN within lower-case PLAIN: letters and numbers below U+0250 are named one by one.
 LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+#: Prose of letters, white space, full stops and commas splits without the pattern, if no two marks meet.
+PROSE = re.compile(f"[{LETTERS}\\s.,]*")
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a lower-case PLAIN text, as WORDS.findall gives them."""
+    if PROSE.fullmatch(text) and not any(pair in text for pair in (".,", ",.", "..", ",,")):
+        return text.replace(".", " . ").replace(",", " , ").split()
+    return WORDS.findall(text)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,7 +79,7 @@ class TextEncoder:
         """Ids of each text, 4 bytes each."""
         if not self.by_chunk:
             return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        rows = [WORDS.findall(t.lower()) if PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        rows = [split_words(t.lower()) if PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         if len(self.cache) > CACHE:
             self.cache = {}
         new: set[str] = set()

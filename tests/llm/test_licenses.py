@@ -1,0 +1,56 @@
+import pyarrow as pa
+
+from entiquery.llm import licenses, shared, words
+
+
+def brute(text):
+    w = licenses.template_words(text or "")
+    at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    starts = [i for i, _ in at]
+    return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
+
+
+DOCS = [
+    (1, "This work is under the GNU General Public License, version 3. gnu general public  LICENSE"),
+    (2, "CC-BY 4.0; cc\nby cc by"),
+    (3, None),
+    (4, ""),
+    (5, "mit licénse mit licenseé MIT License MIT license mit"),
+    (6, "apache"),
+    (7, "Apache license mit license " + "of the word " * 60000 + "apache LICENSE"),
+    (8, " ".join(licenses.NOTICES["bsd"].replace("source", "any source").split())),
+    (2, "CC-BY 4.0; cc\nby cc by"),
+    (None, "the mit license"),
+    (9, "gnu general public"),
+    (10, "license"),
+    (11, "cc"),
+    (12, "by cc"),
+    (13, "é" * 3000),
+]
+
+
+def test_scan(spark):
+    frame = spark.createDataFrame([(d, t, "x", 3) for d, t in DOCS], "doc_id long, text string, label string, template int")
+    got = [tuple(r) for r in licenses.license_labels(frame).collect()]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((r[:6] for r in got), key=key) == sorted(((d, *brute(t)) for d, t in DOCS), key=key)
+    by = {r[0]: r for r in got}
+    assert by[8][6] == "bsd" and by[8][5] == "" and 0.6 <= by[8][7] <= 1
+    assert by[7][6] == "apache,mit" and by[7][7] == 1
+    assert by[6][6] == "" and by[6][7] == 0
+    assert licenses.license_labels(frame.limit(0)).count() == 0
+
+
+def test_word_hashes(monkeypatch):
+    texts = ["Ab,cd", "cd", None, "", "x" * 50 + " ab", "é1 ab", "ab"]
+    for size in (7, 1 << 20):
+        monkeypatch.setattr(shared, "CHUNK_BYTES", size)
+        got = []
+        for i, k, h, before in words.hash_words(pa.array(texts)):
+            got += [h[a:b].tolist() for a, b in zip(before, before[1:])]
+        flat = [w for t in texts for w in licenses.template_words(t or "")]
+        assert [len(g) for g in got] == [len(licenses.template_words(t or "")) for t in texts]
+        seen = {}
+        for w, h in zip(flat, [h for g in got for h in g], strict=True):
+            assert seen.setdefault(w, h) == h
+        assert len(set(seen.values())) == len(seen)

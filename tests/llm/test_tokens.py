@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from entiquery.llm import packing, shared, token_files, tokens
 
 P = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
-ODD = ["", "it's I'LL don't'x", "x<|endoftext|>y", "a\x00b c\x1cd", "İ Σς ﬁ é", "½ ²3 ４５ ª", "日本語 😀", "\t\r\n x\x85y\xa0z", "".join(map(chr, range(0x250))), "ab " * 4000]
+ODD = ["", "it's I'LL don't'x", "x<|endoftext|>y", "a\x00b c\x1cd", "İ Σς ﬁ é", "½ ²3 ４５ ª", "日本語 😀", "\t\r\n x\x85y\xa0z", "".join(map(chr, range(0x250))), "ab " * 4000, "Ab, cd. éf .gh ,", "a.,b", "a..b", ". , a"]
 
 
 def plain_ids(text):
