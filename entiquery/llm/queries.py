@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, shared, simhash, token_files
+from . import licenses, packing, quality, shared, simhash, token_files, toxicity
 
 
 def _word_tokenizer() -> str:
@@ -15,6 +15,11 @@ def _word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
+    return quality.quality_scores(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document to token-id files and read the files back."""
     folder = shared.scratch_dir(spark)
@@ -22,6 +27,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document."""
+    return toxicity.toxicity_scores(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles and components of links within 3 bits."""
     return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"), words=3)
@@ -40,7 +50,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op4_token_files": op4_token_files,
+    "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scan": op10_license_scan,

@@ -215,4 +215,5 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = label.join(least, "root").select(F.col("node").alias("fingerprint"), "least")
     of = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id"))
+    of = shared.materialise(of)  # so that the next join stands alone and Spark can split the rows of a common fingerprint
     return rows.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
