@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .tokens import encoder
+from .tokens import BLOCK, encoder
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
@@ -149,20 +149,21 @@ def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
 
 def split_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = 2048, with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): pieces of whole texts; ids as little-endian u4."""
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
             doc, text = b.column(0).to_pylist(), b.column(1)
             _, offsets = shared.utf8(text)
-            for i, k in shared.blocks(offsets):
+            for i, k in shared.blocks(offsets, BLOCK):
+                ids, cuts = enc.encode_block([t or "" for t in text[i:k].to_pylist()])
+                if end_id is not None:
+                    ids, cuts = np.insert(ids, cuts[1:], end_id), cuts + np.arange(len(cuts))
                 rows = []
-                for d, x in zip(doc[i:k], enc.encode([t or "" for t in text[i:k].to_pylist()]), strict=True):
-                    x += end
-                    for p, at in enumerate(range(0, len(x), 4 * capacity)):
-                        part = x[at : at + 4 * capacity]
-                        rows.append((d, p, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+                for d, first, last in zip(doc[i:k], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    for p, at in enumerate(range(first, last, capacity)):
+                        part = ids[at : min(at + capacity, last)]
+                        rows.append((d, p, at - first, len(part), zlib.crc32(part), part.tobytes() if with_ids else None))
                 if rows:
                     yield shared.batch(_PIECES, *zip(*rows, strict=True))
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .tokens import encoder, vocabulary_size
+from .tokens import BLOCK, encoder, vocabulary_size
 
 MAGIC = b"VCB1"
 #: Lengths of the four ids of each control byte.
@@ -95,16 +95,19 @@ def read_blocks(content: bytes):
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned integers, of 2 bytes if the vocabulary allows, else 4."""
     small = max(vocabulary_size(tokenizer), (end_id or 0) + 1) <= 1 << 16
-    kind, end = ("<u2" if small else "<u4"), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    kind = "<u2" if small else "<u4"
 
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
             doc, text = b.column(0), b.column(1)
             _, offsets = shared.utf8(text)
-            for i, k in shared.blocks(offsets):
-                ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in enc.encode([t or "" for t in text[i:k].to_pylist()])]
-                yield shared.batch(_TOKENS, doc[i:k], ids)
+            for i, k in shared.blocks(offsets, BLOCK):
+                ids, cuts = enc.encode_block([t or "" for t in text[i:k].to_pylist()])
+                if end_id is not None:
+                    ids, cuts = np.insert(ids, cuts[1:], end_id), cuts + np.arange(len(cuts))
+                ids = ids.astype(kind)
+                yield shared.batch(_TOKENS, doc[i:k], pa.Array.from_buffers(pa.binary(), k - i, [None, pa.py_buffer((cuts * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)]))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 

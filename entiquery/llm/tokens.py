@@ -13,8 +13,12 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE = 250_000
+#: Bytes of text in one call.
+BLOCK = 4 << 20
 #: Fixed values of the accepted tokenizer files: their split pattern and normalizers.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -23,15 +27,15 @@ PLAIN = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
 #: WORD_PATTERN within lower-case PLAIN: letters and numbers below U+0250 are named one by one.
 LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
-#: Prose of letters, white space, full stops and commas splits without the pattern, if no two marks meet.
-PROSE = re.compile(f"[{LETTERS}\\s.,]*")
+#: Prose of letters, ASCII white space, full stops and commas splits without the pattern, if no two marks meet.
+PROSE = re.compile(f"[{LETTERS} \\t-\\r.,]*")
 
 
-def split_words(text: str) -> list[str]:
-    """The words of a lower-case PLAIN text, as WORDS.findall gives them."""
+def split_words(text: str) -> str:
+    """The words of a lower-case PLAIN text, as WORDS.findall gives them, parted by ASCII white space."""
     if PROSE.fullmatch(text) and not any(pair in text for pair in (".,", ",.", "..", ",,")):
-        return text.replace(".", " . ").replace(",", " , ").split()
-    return WORDS.findall(text)
+        return text.replace(".", " . ").replace(",", " , ")
+    return " ".join(WORDS.findall(text))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -62,7 +66,7 @@ class TextEncoder:
             self.special = [t["content"] for t in spec.get("added_tokens", [])]
             self.ends = np.zeros(max(self.whole.get_vocab().values()) + 1, bool)
             self.ends[[i for w, i in self.whole.get_vocab().items() if w.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -75,20 +79,32 @@ class TextEncoder:
         data = ids.tobytes()
         self.cache.update((w, data[a:b]) for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
 
+    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text in them). Words become numbers in Arrow; only distinct words are looked up."""
+        words = [split_words(t.lower()) if self.by_chunk and PLAIN.fullmatch(t) and not any(s in t for s in self.special) else f"\x1c{i}" for i, t in enumerate(texts)]
+        lists = pc.ascii_split_whitespace(pa.array(words, pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.cache) > CACHE:
+            self.cache = {"": b""}
+        new = list(set(distinct).difference(self.cache))
+        whole = {w: self._whole(texts[int(w[1:])]) for w in new if w[:1] == "\x1c"}  # never in a PLAIN text
+        if new := [w for w in new if w not in whole]:
+            self._learn(new)
+        parts = list(map((self.cache | whole if whole else self.cache).__getitem__, distinct))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        n = size[index]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(first[index] - (ends - n), n) + np.arange(total)]
+        return ids, np.r_[0, ends][lists.offsets.to_numpy()]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, 4 bytes each."""
-        if not self.by_chunk:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        rows = [split_words(t.lower()) if PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        new: set[str] = set()
-        for r in rows:
-            new.update(r or ())
-        if new := new - self.cache.keys():
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        return [self._whole(t) if r is None else b"".join(map(get, r)) for t, r in zip(texts, rows, strict=True)]
+        ids, cuts = self.encode_block(texts)
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.lru_cache(maxsize=1)
