@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, shared, simhash, token_files, toxicity
+from . import licenses, packing, quality, shared, simhash, token_files, toxicity, urls
 
 
 def _word_tokenizer() -> str:
@@ -32,6 +32,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
 
 
+#: Fixed values of the query.
+URL_RULES = [
+    urls.Rule("block", "com/en/"),
+    urls.Rule("allow", "example.com/en/7"),
+    urls.Rule("allow", "net/de/"),
+    urls.Rule("block", "example.net/de/8"),
+    urls.Rule("block", "org/es/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every page: by rule, else by its host's trust and distrust."""
+    return urls.judge(shared.table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles and components of links within 3 bits."""
     return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"), words=3)
@@ -53,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
+    "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scan": op10_license_scan,
