@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, shared, simhash, token_files, toxicity, urls
+from . import decontaminate, licenses, packing, quality, shared, simhash, token_files, toxicity, urls
 
 
 def _word_tokenizer() -> str:
@@ -52,6 +52,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"), words=3)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items contained in each document."""
+    return decontaminate.contaminated(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack the tokens of all documents into sequences of at most 2048."""
     docs = shared.table(spark, sf_dir, "documents")
@@ -70,9 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scan": op10_license_scan,
 }
 
 #: No entry where SQL cannot express the operator; tests/llm compares those with brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": decontaminate.ORACLE_SQL,
+}
