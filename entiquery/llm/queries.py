@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, quality, shared, simhash, token_files, toxicity, urls
+from . import decontaminate, licenses, packing, quality, shared, simhash, substrings, token_files, toxicity, urls
 
 
 def _word_tokenizer() -> str:
@@ -20,6 +20,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document without the bytes of 100-byte strings that also start earlier."""
+    return substrings.digests(shared.table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document to token-id files and read the files back."""
     folder = shared.scratch_dir(spark)
@@ -71,6 +76,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_files": op4_token_files,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
