@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, quality, shared, simhash, substrings, token_files, toxicity, urls
+from . import decontaminate, licenses, neighbours, packing, quality, shared, simhash, substrings, token_files, toxicity, urls
 
 
 def _word_tokenizer() -> str:
@@ -15,6 +15,11 @@ def _word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return neighbours.nearest(shared.table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document."""
     return quality.quality_scores(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
@@ -75,6 +80,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_files": op4_token_files,
