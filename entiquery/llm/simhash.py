@@ -34,7 +34,7 @@ HALF = 32
 CELL = 64
 #: Variants that are sorted together.
 SORT = 1 << 21
-_PRINT = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+_PRINT = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 _SENT = pa.schema([("cell", pa.int32()), ("fingerprint", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -62,17 +62,18 @@ def majority_bits(hashes: list[list[int]]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fingerprint) of whole texts."""
+    """(uid, doc_id, fingerprint) of whole texts; uid is the row's place in the scan."""
 
     def run(batches):
         for b in batches:
-            doc, text = b.column(0), b.column(1)
+            uid, doc, text = b.columns
             _, offsets = shared.utf8(text)
             for i, k in shared.blocks(offsets):
                 prints = majority_bits([shingle_hashes(t or "", words) for t in text[i:k].to_pylist()])
-                yield shared.batch(_PRINT, doc[i:k], prints.view(np.int64))
+                yield shared.batch(_PRINT, uid[i:k], doc[i:k], prints.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint long")
+    rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "uid long, doc_id long, fingerprint long")
 
 
 class Ball:
@@ -206,14 +207,30 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id reachable by links of 3 bits."""
-    rows = shared.materialise(fingerprints(docs, words))
-    distinct = shared.materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+def _least_of_components(distinct: DataFrame) -> DataFrame:
+    """(fingerprint, least): the smallest ``first`` of the component, for a table (fingerprint, first) of distinct fingerprints."""
     label = shared.materialise(graph.components(links(distinct)))
     linked = label.join(distinct, label["node"] == distinct["fingerprint"]).select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = label.join(least, "root").select(F.col("node").alias("fingerprint"), "least")
-    of = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id"))
-    of = shared.materialise(of)  # so that the next join stands alone and Spark can split the rows of a common fingerprint
-    return rows.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    of = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("least"))
+    return shared.materialise(of)  # so that a join of all rows stands alone and Spark can split those of a common fingerprint
+
+
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id reachable by links of 3 bits."""
+    rows = shared.materialise(fingerprints(docs, words))
+    distinct = shared.materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+    rows = rows.join(_least_of_components(distinct), "fingerprint")
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of the smallest doc_id, the first in the scan.
+
+    ``docs`` must be a table that reads the same way each time. A null doc_id comes before all others.
+    """
+    rows = shared.materialise(fingerprints(docs, words))
+    distinct = shared.materialise(rows.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "uid")).alias("first")))
+    kept = _least_of_components(distinct).select(F.col("least.uid").alias("__uid")).distinct()
+    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, "__uid", "left_semi").drop("__uid")
