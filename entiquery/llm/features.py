@@ -36,7 +36,7 @@ def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     new[1:] = kind[1:] != kind[:-1]
     new[starts] = True
     at = np.r_[0, np.cumsum(new)]
-    return span_hashes(_KIND_VALUE[kind[new]], at[starts], at[ends], 5)
+    return span_hashes(_KIND_VALUE[kind[new]], at[starts], at[ends])
 
 
 def _block(data: np.ndarray, offsets: np.ndarray, kinds: tuple[int, ...], prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:

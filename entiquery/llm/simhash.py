@@ -33,7 +33,7 @@ HALF = 32
 #: Fingerprints that a cell should hold on average, before neighbours' come in.
 CELL = 64
 #: Variants that are sorted together.
-SORT = 1 << 21
+SORT = 1 << 20
 _PRINT = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 _SENT = pa.schema([("cell", pa.int32()), ("fingerprint", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -193,7 +193,7 @@ def links(prints: DataFrame) -> DataFrame:
         for b in batches:
             cells = np.concatenate([cells, b.column(0).to_numpy()])
             prints = np.concatenate([prints, b.column(1).to_numpy().view(np.uint64)])
-            if len(cells) >= 1 << 16:  # all cells but the last are complete
+            if len(cells) >= 1 << 15:  # all cells but the last are complete
                 cut = int(np.searchsorted(cells, cells[-1]))
                 if cut:
                     pairs = ball.links(cells[:cut], prints[:cut])

@@ -45,7 +45,7 @@ REACH = LENGTH - GRAM + 1
 HALF = REACH // 2
 CROWD = 2000
 #: Bytes of text whose anchors are reduced together; bytes of contexts that one suffix array sorts.
-REDUCE, SORT = 24 << 20, 2 << 20
+REDUCE, SORT = 12 << 20, 1 << 20
 _PLACE = np.uint64((1 << 30) - 1)
 _VALUES = [np.random.default_rng(s).integers(1, 2**63, 256, dtype=np.uint64) for s in (21, 22)]
 SPAN, ANCHOR = 0, 1
@@ -78,7 +78,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         return none
     one, two = (v[data] for v in _VALUES)
     at = np.arange(len(data) - GRAM + 1)
-    grams = span_hashes(one, at, at + GRAM, 21)
+    grams = span_hashes(one, at, at + GRAM)
     least = _least(grams & ~_PLACE | at.astype(np.uint64), REACH)
     starts = np.r_[0, ends[:-1]]
     piece = np.repeat(np.arange(len(ends)), ends - starts)[: len(least)]
@@ -91,13 +91,13 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     last = good[np.r_[np.flatnonzero(new)[1:] - 1, len(good) - 1]]
     anchor = anchor[new]
     low, high = starts[piece[first]], ends[piece[first]]
-    context = span_hashes(two, first, last + LENGTH, 22)
+    context = span_hashes(two, first, last + LENGTH)
     context = mix(context + (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64))
     sides = []
     for a, b in ((anchor - HALF, anchor), (anchor + GRAM, anchor + GRAM + HALF)):
         there = (a >= low) & (b <= high)
         side = np.zeros(len(anchor), np.int32)  # 0: the text ends before
-        side[there] = (span_hashes(two, a[there], b[there], 22) >> np.uint64(34)).astype(np.int32) | 1
+        side[there] = (span_hashes(two, a[there], b[there]) >> np.uint64(34)).astype(np.int32) | 1
         sides.append(side)
     return first, last, anchor, grams[anchor], context, *sides
 
@@ -209,7 +209,7 @@ def _deal(batches):
         of = np.repeat(np.arange(len(rows)), n)
         at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         place = base[of] + at
-        key = span_hashes(_VALUES[1][data], place, place + LENGTH, 22)
+        key = span_hashes(_VALUES[1][data], place, place + LENGTH)
         doc, uid, start = (np.array([r[c] for r in rows])[of] for c in (1, 2, 3))
         start = start + at
         keep = _earliest((key.view(np.int64),), (doc, uid, start))

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
+from .words import span_hashes
+
+_VALUES = np.random.default_rng(31).integers(1, 2**63, 513, dtype=np.uint64)
 #: Symbols (9 bits each) in a 64-bit key.
 PACK = 7
 
@@ -33,8 +36,11 @@ def rising(text: np.ndarray) -> np.ndarray:
     return np.repeat(np.r_[text[change] < text[change + 1], False], sizes) if n else up
 
 
-def _direct(keys: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """``places`` sorted by their first ``depth`` symbols; only what is still tied is looked at again."""
+def _direct(keys: np.ndarray, places: np.ndarray, depth: int, alike: np.ndarray | None) -> np.ndarray:
+    """``places`` sorted by their first ``depth`` symbols; only what is still tied is looked at again.
+
+    ``alike``: a hash of the ``depth`` symbols at each place. Ties that are alike to the end need no more rounds.
+    """
     last = len(keys) - 1
     order = places[np.argsort(keys[places], kind="stable")]
     tied = np.zeros(len(order), bool)
@@ -46,6 +52,12 @@ def _direct(keys: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
         tied[1:] |= same
         tied[:-1] |= same
         where = np.flatnonzero(tied)
+        if alike is not None and len(where):
+            own = alike[order[where]]
+            first = np.flatnonzero(np.r_[True, group[where][1:] != group[where][:-1]])
+            sizes = np.diff(np.r_[first, len(where)])
+            mixed = ~np.logical_and.reduceat(own == np.repeat(own[first], sizes), first)
+            where = where[np.repeat(mixed, sizes)]
         if not len(where):
             break
         part, of = order[where], group[where]
@@ -57,7 +69,8 @@ def _direct(keys: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
         split = np.zeros(len(order), np.int64)
         split[where] = apart
         group = group + np.cumsum(split)
-        same = group[1:] == group[:-1]
+        same = np.zeros(len(same), bool)
+        same[where[1:] - 1] = (where[1:] == where[:-1] + 1) & (group[where[1:]] == group[where[:-1]])
         at += PACK
     return order
 
@@ -72,7 +85,12 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         return np.zeros(0, np.int64)
     text = text.astype(np.int64) + 1 if text.max(initial=0) < 511 else text.astype(np.int64)
     up = rising(text)
-    direct = _direct(packed(text), np.flatnonzero(up), n if depth is None else depth)
+    places = np.flatnonzero(up)
+    alike = None
+    if depth is not None:
+        ends = np.minimum(np.arange(n) + depth, n)
+        alike = span_hashes(_VALUES[text], np.arange(n), ends)
+    direct = _direct(packed(text), places, n if depth is None else depth, alike)
     symbols = int(text.max()) + 1
     first = text[direct]
     cuts = np.searchsorted(first, np.arange(symbols + 1))

@@ -25,13 +25,19 @@ def _table(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)[_FOLD] * np.uint64(2) + np.uint64(1)
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    base = int(np.random.default_rng(seed + 1).integers(1, 2**62)) * 4 + 3
-    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_kept: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64; one pair for each worker, as long as was ever needed."""
+    if size > len(_kept[0]):
+        size = max(size, shared.CHUNK_BYTES + 1024)
+        base = int(np.random.default_rng(2).integers(1, 2**62)) * 4 + 3
+        for i, factor in enumerate((base, pow(base, -1, 2**64))):
+            powers = np.full(size, factor, np.uint64)
+            powers[0] = 1
+            _kept[i] = np.cumprod(powers)
+    return _kept
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,10 +47,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """Hashes of values[start:end] for each span; equal contents have equal hashes wherever they stand."""
-    size = 1 << max(16, int(len(values)).bit_length())
-    up, down = _powers(seed, size)
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end] for each span; equal contents have equal hashes wherever they stand.
+
+    ``values`` come from a table of random numbers; another table gives an independent hash.
+    """
+    up, down = _powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
@@ -65,7 +73,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = W
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    return span_hashes(_table(seed)[data], starts, ends, seed)
+    return span_hashes(_table(seed)[data], starts, ends)
 
 
 def gram_hashes(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
