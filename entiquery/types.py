@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import sys
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,7 +85,16 @@ class Record:
         return T.StructType(fields)
 
     def values(self) -> tuple:
-        return tuple(v.values() if isinstance(v, Record) else v for v in (self.__dict__.get(f.name) for f in self.schema()))
+        """In the order of the schema, as Spark takes them."""
+        out = []
+        for f in self.schema():
+            v = self.__dict__.get(f.name)
+            if isinstance(v, Record):
+                v = v.values()
+            elif isinstance(f.dataType, T.DecimalType) and v is not None:
+                v = Decimal(v)
+            out.append(v)
+        return tuple(out)
 
 
 class Struct(Record):
