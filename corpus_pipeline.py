@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entiquery.llm import decontaminate, packing, shared, simhash, substrings, toxicity
+from entiquery.llm import decontaminate, neardup, packing, shared, substrings, toxicity
 
 CAPACITY = 2048
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links over five-word shingles one stays."""
-    return simhash.without_near_duplicates(docs, words=5)
+    """Of documents that SimHash brings together and whose five-word shingles agree to 0.8 one stays."""
+    return neardup.without_near_duplicates(docs, least=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
