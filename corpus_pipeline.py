@@ -7,6 +7,7 @@ stages but the last return the columns of documents; the last returns the packed
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from entiquery.llm import decontaminate, neardup, packing, shared, substrings, toxicity
 
@@ -24,8 +25,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 100-byte strings that also start earlier go from the texts."""
-    return substrings.without_repeats(docs)
+    """Bytes of 100-byte strings that also start earlier go from the texts; n_chars follows."""
+    kept = substrings.without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
