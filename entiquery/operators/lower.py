@@ -13,6 +13,7 @@ from ..context import FrameContext
 from ..errors import InvalidColumnType, PlanError
 from ..plans import logical as L
 from ..query import BatchSystem, System
+from ..sources.ship import ship
 from ..types import Fields, name_of, new_value
 from ..world import World
 
@@ -84,6 +85,7 @@ def run_batches(rows: DataFrame, system: BatchSystem, ctx: FrameContext, columns
     """``rows`` with the written struct columns replaced by what ``run_batch`` returns, in Arrow batches of pandas frames."""
     import pandas as pd
 
+    ship(rows.sparkSession)
     flat = [(c, f.name, f"{c.ref}.{name_of(c.type)}.{f.name}" if c.ref else f"{name_of(c.type)}.{f.name}") for c in columns for f in c.type.schema()]
     written = {name_of(k) for k in system.writes}
     out = [(c, f, n) for c, f, n in flat if c.kind in ("component", "global") and name_of(c.type) in written]
