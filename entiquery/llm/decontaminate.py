@@ -138,6 +138,7 @@ def _passes(benchmark: DataFrame) -> list[DataFrame]:
 def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """All columns of ``docs`` and __n_items, __containment (largest), __item_ids."""
     spark = docs.sparkSession
+    shared.ship(spark)
     out = docs.withColumns({"__n_items": F.lit(0), "__containment": F.lit(0.0), "__item_ids": F.array().cast("array<long>")})
     text = docs.columns.index("text")
     for some in _passes(benchmark):

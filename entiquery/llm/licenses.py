@@ -87,6 +87,7 @@ def _grams(batches):
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts has (uid, doc_id, n_words); spans has (uid, label, phrase, first_word, n_words, cover) of each place found."""
     spark = docs.sparkSession
+    shared.ship(spark)
     templates = [(label, text, True) for text, label in phrases.items()] + [(label, text, False) for label, text in notices.items()]
     grams = template_grams(spark, templates)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))

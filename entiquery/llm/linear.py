@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship
 from .features import BUCKETS, features
 
 _SAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.list_(pa.int32()))])
@@ -45,6 +46,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
     ``size`` bounds what reaches the driver. The choice looks at labels only, so it is the same for any
     partitioning. A label that is null counts as none; of repeated labels of a doc_id the larger holds.
     """
+    ship(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows.where(training).groupBy("doc_id").agg(F.max("label").alias("label"))
     some = [rows.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size // 2) for v in (0, 1)]
@@ -116,6 +118,7 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, penalty:
 
 def score_documents(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
+    ship(docs.sparkSession)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches):

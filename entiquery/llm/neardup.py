@@ -93,6 +93,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * PRINTS, pa.int32()), pa.array(prints.reshape(-1).view(np.int64)))
                 yield shared.batch(_ROWS, uid[i:k], doc[i:k], whole[:, 0].copy(), whole[:, 1].copy(), lists, [sketch(hashes[a:c]) for a, c in zip(before, before[1:])])
 
+    shared.ship(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "uid long, doc_id long, h1 long, h2 long, prints array<long>, sketch binary")
 

@@ -150,6 +150,8 @@ def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
 def split_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = 2048, with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): pieces of whole texts; ids as little-endian u4."""
 
+    shared.ship(docs.sparkSession)
+
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:

@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 prints = majority_bits([shingle_hashes(t or "", words) for t in text[i:k].to_pylist()])
                 yield shared.batch(_PRINT, uid[i:k], doc[i:k], prints.view(np.int64))
 
+    shared.ship(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "uid long, doc_id long, fingerprint long")
 

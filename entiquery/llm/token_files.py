@@ -94,6 +94,7 @@ def read_blocks(content: bytes):
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned integers, of 2 bytes if the vocabulary allows, else 4."""
+    shared.ship(docs.sparkSession)
     small = max(vocabulary_size(tokenizer), (end_id or 0) + 1) <= 1 << 16
     kind = "<u2" if small else "<u4"
 
