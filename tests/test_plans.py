@@ -59,6 +59,8 @@ def test_tree_rules():
         (UnsupportedStatement, lambda: match().foreach(system())),
         (UnsupportedStatement, lambda: match(A).foreach(None)),
         (UnsupportedStatement, lambda: match(A).expand("r", B).expand("s", C).foreach(system())),
+        (UnsupportedStatement, lambda: match(Global(A)).has_tag("t").foreach(system(A))),
+        (UnsupportedStatement, lambda: match(Global(A)).expand("r", B).foreach(system())),
         (InvalidNumberOfComponents, lambda: match(A).foreach(Two())),
         (InvalidNumberOfComponents, lambda: match(A, B).expand("r", C).foreach(Two())),
         (InvalidAccessModeOnExpand, lambda: match(A).expand("r", B).foreach(system(B))),
