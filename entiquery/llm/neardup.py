@@ -156,6 +156,7 @@ def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataF
     centres = shared.materialise(nodes.groupBy("t", "fp").agg(F.min_by("id", F.xxhash64("id", "t")).alias("centre")))
     alike = nodes.join(centres, ["t", "fp"]).where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     near = shared.materialise(print_links(centres, classes.count()))
+    shared.release(docs.sparkSession)
     end = lambda c: centres.select("t", F.col("fp").alias(c), F.col("centre").alias(f"c{c}"))
     near = near.join(end("a"), ["t", "a"]).join(end("b"), ["t", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     pairs = alike.union(near).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -28,7 +28,6 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -300,23 +299,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = _documents(docs)
     found = texts.select("uid", "doc", "text").mapInArrow(_read_anchors, _ANCHOR_DDL).repartition(parts, "key")
     found = shared.materialise(found.mapInArrow(_meet, "kind byte, key long, doc long, uid long, start int, end int, crowded boolean"))
-    _free(spark)
+    shared.release(spark)
     asked = found.where(f"kind = {ANCHOR}").drop("kind")
     bytes_ = texts.select("uid", F.col("text").cast("binary").alias("b")).where(f"octet_length(b) >= {LENGTH}")
     got = asked.join(bytes_, "uid").select("key", "doc", "uid", "start", "end", F.expr("substring(b, start + 1, end - start)").alias("bytes"), "crowded")
     dealt = got.mapInArrow(_deal, "kind byte, key long, doc long, uid long, start int, end int, bytes binary").repartition(parts, "key").sortWithinPartitions("key")
     more = shared.materialise(dealt.mapInArrow(_sort, "uid long, start int, end int"))
-    _free(spark)
+    shared.release(spark)
     spans = found.where(f"kind = {SPAN}").select("uid", "start", "end").union(more)
     return spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _free(spark) -> None:
-    """Let Spark drop shuffle files of plans that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
     """What is left, and the maximal removed runs."""
     if not spans:
