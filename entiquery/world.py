@@ -203,6 +203,12 @@ class World:
     def has_tag(self, name: str, id: int) -> bool:
         return bool(self.tag(name).where(F.col("id") == id).limit(1).count())
 
+    def tag_size(self, name: str) -> int:
+        return self.tag(name).count()
+
+    def clear_tag(self, name: str) -> None:
+        self._set("tags", name, self.spark.createDataFrame([], ID_SCHEMA))
+
     def tag_union(self, a: str, b: str) -> DataFrame:
         return self.tag(a).union(self.tag(b)).distinct()
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entiquery import Bool, Char, Component, Double, Float, Int8, String, Struct, UInt8, UInt32, UInt64, Union, World, anonymous
+from entiquery import Bool, Char, Component, Double, Entity, Float, Int8, String, Struct, UInt8, UInt32, UInt64, Union, World, anonymous
 from entiquery.errors import PlanError, UnsupportedTypeModifier
 from entiquery.functions.arithmetic import divide, f32, wrap
 from entiquery.sources import parquet as src
@@ -246,3 +246,17 @@ def test_arithmetic(spark):
     r = row.first()
     assert (r["a"], r["b"], r["d"], r["f"], r["g"], r["h"]) == (float("inf"), float("-inf"), 0.25, 44, 127, -(2**31)) and r["c"] != r["c"]
     assert row.schema["e"].dataType == T.FloatType()
+
+
+def test_entity_handle(spark):
+    world = World(spark)
+    a, b = Entity(world, 1), Entity(world, 2)
+    a.add(Field(field1=1, field2=2.0), Other(field=3)).add_tag("t").refer("r", b)
+    assert a.get(Field)["field2"] == 2 and a.has_tag("t") and not b.has_tag("t") and a.head("r") == b and b.head("r") is None
+    assert not a.disable(Field).is_enabled(Field) and a.enable(Field).is_enabled(Field)
+    assert a.remove(Other).get(Other) is None and a.unrefer("r").head("r") is None and world.tag_size("t") == 1
+    a.remove_tag("t").add_tag("u").destroy(purge=True)
+    assert a.get(Field) is None and not a.has_tag("u")
+    world.add_tag("t", [5])
+    world.clear_tag("t")
+    assert world.tag_size("t") == 0
