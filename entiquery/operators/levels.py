@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialise
+from ..sources.tables import materialise_and_measure
 
 
 def levels(pairs: DataFrame) -> DataFrame:
@@ -16,14 +16,13 @@ def levels(pairs: DataFrame) -> DataFrame:
     """
     tails = pairs.select(F.col("tail").alias("known"))
     state = pairs.join(tails, pairs["head"] == tails["known"], "left").select("tail", F.col("head").alias("at"), F.lit(1).cast("long").alias("level"), F.col("known").isNotNull().alias("open"))
-    state = materialise(state)
-    left = state.where("open").count()
+    still_open = F.count(F.when(F.col("open"), 1))
+    state, left = materialise_and_measure(state, still_open)
     while left:
         ahead = state.select(F.col("tail").alias("via"), F.col("at").alias("next"), F.col("level").alias("more"), F.col("open").alias("still"))
         going = state.where("open").join(ahead, F.col("at") == F.col("via"))
         going = going.select("tail", F.col("next").alias("at"), (F.col("level") + F.col("more")).alias("level"), F.col("still").alias("open"))
-        state = materialise(state.where("not open").union(going))
-        now = state.where("open").count()
+        state, now = materialise_and_measure(state.where("not open").union(going), still_open)
         if now == left:
             break
         left = now

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..context import FrameContext
 from ..plans import logical as L
 from ..query import BatchSystem, EntityMatch, Statement
-from ..sources.tables import materialise
+from ..sources.tables import materialise, materialise_and_measure
 from ..types import Component, Global, name_of
 from ..world import World
 from .levels import levels
@@ -142,12 +142,11 @@ class WideFrame:
         """Level by level: rows of a level see the level before as it now is. Each level is written out once."""
         keep = self.df.columns
         level = levels(self.world.ref_rows(stmt.expansion.ref))
-        top = level.agg(F.max("level")).first()[0] or 0
         rows = self.df.join(level.select(F.col("tail").alias("id"), F.col("level").alias("__level")), "id", "left").withColumn("__level", F.coalesce("__level", F.lit(0)))
-        rows = materialise(rows, "__level")
+        rows, top = materialise_and_measure(rows, F.max("__level"), "__level")
         now = rows.where("__level = 0").select(*keep)  # roots, and all that never changes here
         done = [now]
-        for k in range(1, top + 1):
+        for k in range(1, (top or 0) + 1):
             joined, cond = self._matched(rows.where(F.col("__level") == k).select(*keep), now, stmt, columns, bound)
             now = materialise(self._updated(joined, cond, stmt, columns, keep))
             done.append(now)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -23,3 +23,10 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_and_measure(df: DataFrame, measure: Column, *partition_by: str) -> tuple[DataFrame, object]:
+    """The same, and the value of an aggregate over the rows, taken while they are written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, measure.alias("value")), *partition_by)
+    return out, seen.get["value"]
