@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from . import graph, shared
 from .features import SOLID
-from .simhash import Ball
+from .simhash import Ball, cell_bits
 from .words import gram_hashes, hash_words, mix
 
 PRINTS, WORDS, SIMILARITY, SKETCH = 6, 5, 0.8, 256
 #: Distinct words whose bits are summed at once.
 SUM = 1 << 16
 _ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("prints", pa.list_(pa.int64())), ("sketch", pa.binary())])
-_SENT = pa.schema([("cell", pa.int64()), ("t", pa.int32()), ("fp", pa.int64())])
+_SENT = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
 _LINK = pa.schema([("t", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -100,8 +100,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 def print_links(prints: DataFrame, rows: int) -> DataFrame:
     """(t, a, b): links that connect the distinct fingerprints of each t (t, fp) that lie within 3 bits."""
-    bits = int(min(11, max(3, np.ceil(np.log2(max(rows, 1) / 64) / 2))))
-    ball = Ball(bits)
+    ball = Ball(cell_bits(rows))
 
     def send(batches):
         for b in batches:
@@ -110,16 +109,17 @@ def print_links(prints: DataFrame, rows: int) -> DataFrame:
                 own = p[t == which]
                 for i in range(0, len(own), 4096):
                     cells, sent = ball.sent(own[i : i + 4096])
-                    yield shared.batch(_SENT, cells.astype(np.int64) * PRINTS + which, np.full(len(cells), which, np.int32), sent.view(np.int64))
+                    yield shared.batch(_SENT, cells.astype(np.int64) * PRINTS + which, sent.view(np.int64))
 
-    def found(cell, t, p):
+    def found(cell, p):
+        t = (cell % PRINTS).astype(np.int32)
         for which in np.unique(t).tolist():
             own = t == which
             pairs = ball.links((cell[own] // PRINTS).astype(np.int32), p[own])
             yield shared.batch(_LINK, np.full(len(pairs), which, np.int32), pairs[:, 0].copy().view(np.int64), pairs[:, 1].copy().view(np.int64))
 
     def meet(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
         for b in batches:
             held = [np.concatenate([h, b.column(c).to_numpy().view(h.dtype)]) for c, h in enumerate(held)]
             if len(held[0]) >= 1 << 15:  # all cells but the last are complete
@@ -129,7 +129,7 @@ def print_links(prints: DataFrame, rows: int) -> DataFrame:
                     held = [h[cut:] for h in held]
         yield from found(*held)
 
-    sent = prints.select("t", "fp").mapInArrow(send, "cell long, t int, fp long")
+    sent = prints.select("t", "fp").mapInArrow(send, "cell long, fp long")
     return sent.repartition(shared.parallelism(prints.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(meet, "t int, a long, b long")
 
 

@@ -8,7 +8,7 @@ the pairs of the lower half and odd ones those of the upper half. (No smaller se
 pairs left out must form a graph without triangles, which has at most 1024 edges.)
 
 Variants are shuffled by some of their bits, a cell. A fingerprint travels once to each cell that any of
-its variants lies in (28 of 4096 cells, not 561 rows) and is spread there; equal variants are found by
+its variants lies in (36 of 16,384 cells, not 561 rows) and is spread there; equal variants are found by
 sorting. In a run of equal variants with a member at distance 0 or 1, that member links to all others:
 distances add up to 3 at most, which is checked bit by bit. Runs with distance-2 members only say nothing;
 their links are found at other variants. So links grow with the rows and never with the square of a group.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import graph, shared
 
 HALF = 32
-#: Fingerprints that a cell should hold on average, before neighbours' come in.
-CELL = 64
+#: Bits of a cell from each half, and the fingerprints a cell may hold on average before it takes more bits (from 33 million on).
+CELL_BITS, CELL = 7, 2048
 #: Variants that are sorted together.
 SORT = 1 << 20
 _PRINT = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("fingerprint", pa.int64())])
@@ -175,12 +175,16 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return pairs[keep]
 
 
+def cell_bits(n: int) -> int:
+    """Bits of a cell from each half for ``n`` fingerprints; the same up to 33 million, so that what is sent grows with n."""
+    return int(min(14, max(CELL_BITS, np.ceil(np.log2(max(n, 1) / CELL) / 2))))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints within 3 bits of each other."""
     spark = prints.sparkSession
     n = prints.count()
-    bits = int(min(11, max(3, np.ceil(np.log2(max(n, 1) / CELL) / 2))))
-    ball = Ball(bits)
+    ball = Ball(cell_bits(n))
 
     def send(batches):
         for b in batches:
