@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import shared
-from .words import gram_hashes, mix, span_hashes, word_hashes, word_spans
+from .words import gram_hashes, mix, segments, span_hashes, word_hashes, word_spans
 
 BUCKETS = 1 << 20
 #: Everything but ASCII white space.
@@ -61,17 +61,41 @@ def _block(data: np.ndarray, offsets: np.ndarray, kinds: tuple[int, ...], prefix
         long = ends - starts > size
         found.append((row[long], _salted(word_hashes(data, starts[long], starts[long] + size) + np.uint64(size), PREFIX)))
     if REPEAT in kinds:
-        distinct = np.bincount(np.unique(np.stack([row, (words >> np.uint64(1)).astype(np.int64)], 1), axis=0)[:, 0] if len(row) else [], minlength=len(n))
-        share, size = (10 * distinct // np.maximum(n, 1)).astype(np.uint64), np.minimum(np.log2(n + 1), 20).astype(np.uint64)
-        found.append((np.arange(len(n)), _salted(share * np.uint64(32) + size, REPEAT)))
+        distinct = np.bincount(np.unique(np.stack([row, words.view(np.int64)], 1), axis=0)[:, 0] if len(row) else [], minlength=len(n))
+        found.append((np.arange(len(n)), _repeats(distinct, n)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = np.unique(np.concatenate([r for r, _ in found]) * BUCKETS + np.concatenate([b for _, b in found]))
     return key // BUCKETS, key % BUCKETS
 
 
+def _repeats(distinct: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bucket for tenths of distinct words and the size's power of two."""
+    share, size = (10 * distinct // np.maximum(n, 1)).astype(np.uint64), np.minimum(np.log2(n + 1), 20).astype(np.uint64)
+    return _salted(share * np.uint64(32) + size, REPEAT)
+
+
+def _long(data: np.ndarray, kinds: tuple[int, ...], prefixes: tuple[int, ...]) -> np.ndarray:
+    """Buckets of one long text, a segment at a time; each begins with the word before, for pairs."""
+    buckets, seen, n, last = np.zeros(0, np.int64), np.zeros(0, np.uint64), 0, 0
+    for a, b in segments(data, SOLID):
+        part = data[last:b]
+        _, found = _block(part, np.array([0, len(part)]), tuple(k for k in kinds if k != REPEAT), prefixes)
+        buckets = np.union1d(buckets, found)
+        starts, ends, _ = word_spans(data[a:b], np.array([0, b - a]), SOLID)
+        seen, n = np.union1d(seen, word_hashes(data[a:b], starts, ends)), n + len(starts)
+        last = a + int(starts[-1]) if len(starts) else last
+    if REPEAT in kinds:
+        buckets = np.union1d(buckets, _repeats(np.array([len(seen)]), np.array([n])))
+    return buckets
+
+
 def features(column: pa.Array, kinds: tuple[int, ...] = (WORD, PAIR, SHAPE, REPEAT), prefixes: tuple[int, ...] = ()):
     """Yields (first row, last row, feature rows from 0, buckets) for blocks of a string column."""
     data, offsets = shared.utf8(column)
     for i, k in shared.blocks(offsets):
+        if k == i + 1 and offsets[k] - offsets[i] > shared.CHUNK_BYTES:
+            bucket = _long(data[offsets[i] : offsets[k]], kinds, prefixes)
+            yield i, k, np.zeros(len(bucket), np.int64), bucket
+            continue
         yield i, k, *_block(data[offsets[i] : offsets[k]], offsets[i : k + 1] - offsets[i], kinds, prefixes)

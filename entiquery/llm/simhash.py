@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, shared
+from .features import SOLID
+from .words import segments
 
 HALF = 32
 #: Bits of a cell from each half, and the fingerprints a cell may hold on average before it takes more bits (from 33 million on).
@@ -39,11 +41,11 @@ _SENT = pa.schema([("cell", pa.int32()), ("fingerprint", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def shingle_hashes(text: str, words: int) -> list[int]:
+def shingle_hashes(text: str | bytes, words: int) -> list[int]:
     """XXH64 (seed 42) of every ``words``-word shingle, repeats included; of the whole if it is shorter."""
     from xxhash import xxh64_intdigest
 
-    w = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
+    w = (text.encode() if isinstance(text, str) else text).lower().split()  # bytes: A-Z and ASCII white space only
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)] if w else []
     return [xxh64_intdigest(s, 42) for s in shingles]
 
@@ -61,14 +63,33 @@ def majority_bits(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
+def long_print(data: np.ndarray, words: int) -> int:
+    """The fingerprint of one long text, its shingles a segment at a time."""
+    ones, n, before = np.zeros(64, np.int64), 0, []
+    for a, b in segments(data, SOLID):
+        w = before + data[a:b].tobytes().split()
+        if len(w) >= words:
+            h = np.array(shingle_hashes(b" ".join(w), words), np.uint64)
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            n += len(h)
+        before = w[-(words - 1) :] if words > 1 else []
+    if not n:  # fewer words than a shingle
+        return int(majority_bits([shingle_hashes(b" ".join(before), words)])[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(uid, doc_id, fingerprint) of whole texts; uid is the row's place in the scan."""
 
     def run(batches):
         for b in batches:
             uid, doc, text = b.columns
-            _, offsets = shared.utf8(text)
+            data, offsets = shared.utf8(text)
             for i, k in shared.blocks(offsets):
+                if k == i + 1 and offsets[k] - offsets[i] > shared.CHUNK_BYTES:
+                    one = np.array([long_print(data[offsets[i] : offsets[k]], words)], np.uint64)
+                    yield shared.batch(_PRINT, uid[i:k], doc[i:k], one.view(np.int64))
+                    continue
                 prints = majority_bits([shingle_hashes(t or "", words) for t in text[i:k].to_pylist()])
                 yield shared.batch(_PRINT, uid[i:k], doc[i:k], prints.view(np.int64))
 

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 CACHE = 250_000
 #: Bytes of text in one call.
 BLOCK = 4 << 20
+SPACE = re.compile("[ \\t\\n\\r]")
 #: Fixed values of the accepted tokenizer files: their split pattern and normalizers.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -80,7 +81,28 @@ class TextEncoder:
         self.cache.update((w, data[a:b]) for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
 
     def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets of each text in them). Words become numbers in Arrow; only distinct words are looked up."""
+        """(ids of all texts, offsets of each text in them); a longer text than BLOCK is cut between words."""
+        if not self.by_chunk or all(len(t) <= BLOCK for t in texts):
+            return self._encode_block(texts)
+        ids, cuts, total, known = [], [0], 0, 0
+        for t in texts:
+            at = 0
+            while at < len(t) or not t:
+                end = at + BLOCK
+                if end < len(t):
+                    space = SPACE.search(t, end)
+                    end = space.start() if space else len(t)
+                ids.append(self._encode_block([t[at:end]])[0])
+                at = end
+                if not t:
+                    break
+            total += sum(len(x) for x in ids[known:])
+            known = len(ids)
+            cuts.append(total)
+        return np.concatenate(ids) if ids else np.zeros(0, "<u4"), np.array(cuts)
+
+    def _encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words become numbers in Arrow; only distinct words are looked up."""
         words = [split_words(t.lower()) if self.by_chunk and PLAIN.fullmatch(t) and not any(s in t for s in self.special) else f"\x1c{i}" for i, t in enumerate(texts)]
         lists = pc.ascii_split_whitespace(pa.array(words, pa.string()))
         coded = lists.flatten().dictionary_encode()

@@ -87,7 +87,7 @@ def gram_hashes(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     return mix(out)
 
 
-def _segments(data: np.ndarray, word_bytes: np.ndarray):
+def segments(data: np.ndarray, word_bytes: np.ndarray):
     """Byte ranges of about one block that end between words; a longer word makes a longer range."""
     at = 0
     while at < len(data):
@@ -108,7 +108,7 @@ def hash_words(column: pa.Array, seed: int = 1, word_bytes: np.ndarray = WORD_BY
     for i, k in shared.blocks(offsets):
         part, offs = data[offsets[i] : offsets[k]], offsets[i : k + 1] - offsets[i]
         if k == i + 1 and len(part) > shared.CHUNK_BYTES:
-            hashes = [word_hashes(p := part[a:b], *word_spans(p, np.array([0, b - a]), word_bytes)[:2], seed) for a, b in _segments(part, word_bytes)]
+            hashes = [word_hashes(p := part[a:b], *word_spans(p, np.array([0, b - a]), word_bytes)[:2], seed) for a, b in segments(part, word_bytes)]
             one = np.concatenate(hashes)
             yield i, k, one, np.array([0, len(one)])
         else:

@@ -90,6 +90,17 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_long_texts(monkeypatch):
+    rng = np.random.default_rng(7)
+    for words in (1, 3, 5):
+        for n in (1, 2, 3, 4, 60, 400):
+            text = "  ".join(rng.choice(WORDS, n)) + " É\tZ" * (n % 2)
+            whole = simhash.majority_bits([simhash.shingle_hashes(text, words)])[0]
+            for size in (1, 7, 40, 5000):
+                monkeypatch.setattr(simhash.shared, "CHUNK_BYTES", size)
+                assert simhash.long_print(np.frombuffer(text.encode(), np.uint8), words) == whole
+
+
 def test_null_id(spark):
     frame = spark.createDataFrame([(None, "x y z"), (4, "x y z"), (None, "q")], "doc_id long, text string")
     assert sorted((str(r[0]), str(r[2])) for r in simhash.near_duplicates(frame).collect()) == [("4", "4"), ("None", "4"), ("None", "None")]

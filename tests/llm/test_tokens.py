@@ -22,6 +22,13 @@ def test_encoder_equals_tokenizer(texts):
     assert got == [plain_ids(t) for t in texts + ODD]
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 50)
+    texts = ["", "word " * 40, "x" * 300 + " y", "日本 " * 60 + "<|endoftext|> z", "a\n" * 200, "short"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(P).encode(texts)]
+    assert got == [plain_ids(t) for t in texts]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=50))
 @settings(max_examples=100, deadline=None)
 def test_code_round_trip(values):
