@@ -157,6 +157,7 @@ def build_indexes(vectors: DataFrame, members: int, shard_rows: int = SHARD_ROWS
     nodes = shared.materialise(salted.groupBy("dim", "v").agg(smallest(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids")))
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))  # a row for each dimension
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
+    tasks = max(shared.parallelism(vectors.sparkSession), 2 * (shards.agg(F.sum("shards")).first()[0] or 0))  # else small shards are put into one task
 
     def build(found: pa.Table) -> pa.Table:
         found = found.combine_chunks()
@@ -168,7 +169,7 @@ def build_indexes(vectors: DataFrame, members: int, shard_rows: int = SHARD_ROWS
         return pa.table([[found["dim"][0].as_py()], [found["shard"][0].as_py()], [[ids[i] for i in order]], [x.tobytes()], [graph.edges.tobytes()], [graph.entry]], schema=_INDEX)
 
     ddl = "dim int, shard int, members array<array<long>>, vectors binary, edges binary, entry int"
-    return shared.materialise(dealt.select("dim", "shard", "v", "ids").groupBy("dim", "shard").applyInArrow(build, ddl))
+    return shared.materialise(dealt.select("dim", "shard", "v", "ids").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, ddl))
 
 
 def search(queries: DataFrame, indexes: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
@@ -198,6 +199,8 @@ def search(queries: DataFrame, indexes: DataFrame, k: int, beam: int = BEAM) ->
                 out += [(query, m, -s) for s, m in best]
         return pa.table(list(zip(*out, strict=True)) or [[], [], []], schema=_FOUND)
 
+    tasks = max(shared.parallelism(queries.sparkSession), 2 * blocks * indexes.count())
+    asked, spread = asked.repartition(tasks, "dim", "shard", "block"), spread.repartition(tasks, "own_dim", "own_shard", "own_block")
     found = asked.groupBy("dim", "shard", "block").cogroup(spread.groupBy("own_dim", "own_shard", "own_block")).applyInArrow(run, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
