@@ -7,7 +7,9 @@ vectors of a shard to the same length.
 Building: nodes are put in by batches of growing size. A greedy search from the medoid proposes the nodes it saw
 as neighbours; pruning goes through them by distance and drops whatever lies nearer (by a factor ALPHA) to a kept
 one than to the node, which keeps long edges in many directions. Edges are also put in backwards, and lists
-that grow over DEGREE are pruned again. A second round does the same on the whole graph.
+that grow over DEGREE are pruned again. A second round does the same on the whole graph. Every node also keeps LONG
+random edges: in a crowd of nearly equal vectors all pruned edges end within the crowd, and a search that
+came into it would not find out again.
 
 Searching: every query goes to every shard of its dimension, with a beam of BEAM nodes; the beam is scored in
 double precision on the original vectors, and the best of all shards are the result. Every valid vector is
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-DEGREE, BEAM, ALPHA, SHARD_ROWS, QUERY_ROWS, AT_ONCE, BATCH = 32, 72, 1.2, 8192, 8192, 4, 256
+DEGREE, LONG, BEAM, ALPHA, SHARD_ROWS, QUERY_ROWS, AT_ONCE, BATCH = 32, 4, 72, 1.2, 8192, 8192, 4, 256
 SALTS = 64
 _INDEX = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("members", pa.list_(pa.list_(pa.int64()))), ("vectors", pa.binary()), ("edges", pa.binary()), ("entry", pa.int32())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -39,7 +41,10 @@ class Graph:
     def __init__(self, points: np.ndarray, edges: np.ndarray | None = None, entry: int = 0):
         self.points = np.ascontiguousarray(points, np.float32)
         self.square = np.einsum("nd,nd->n", self.points, self.points)
-        self.edges = np.full((len(points), DEGREE), -1, np.int32) if edges is None else edges
+        if edges is None:  # the last LONG columns are random edges that pruning leaves alone
+            edges = np.full((len(points), DEGREE + LONG), -1, np.int32)
+            edges[:, DEGREE:] = np.random.default_rng(1).integers(0, max(len(points), 1), (len(points), LONG))
+        self.edges = edges
         self.entry = entry
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +102,12 @@ class Graph:
                 apart = square - 2 * np.einsum("bd,bkd->bk", chosen, vectors) + square[rows, pick][:, None]
                 alive &= (ALPHA**2 * apart > dist) | ~some[:, None]
                 alive[rows, pick] = False
-        self.edges[owners] = kept
+        self.edges[owners, :DEGREE] = kept
 
     def add(self, nodes: np.ndarray) -> None:
         seen, _ = self.search(self.points[nodes], BEAM)
-        self.prune(nodes, np.concatenate([seen, self.edges[nodes]], 1))
-        ends, starts = self.edges[nodes].reshape(-1), np.repeat(nodes, DEGREE)
+        self.prune(nodes, np.concatenate([seen, self.edges[nodes, :DEGREE]], 1))
+        ends, starts = self.edges[nodes, :DEGREE].reshape(-1), np.repeat(nodes, DEGREE)
         ends, starts = ends[ends >= 0], starts[ends >= 0]
         by = np.argsort(ends, kind="stable")
         ends, starts = ends[by], starts[by]
@@ -113,10 +118,11 @@ class Graph:
             row = np.repeat(np.arange(len(own)), n)
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             back[row, at] = starts[np.repeat(first[i : i + BATCH], n) + at]
-            back[(back[:, :, None] == self.edges[own][:, None, :]).any(2)] = -1
-            room = (self.edges[own] >= 0).sum(1) + (back >= 0).sum(1) <= DEGREE
-            both = np.concatenate([self.edges[own], back], 1)
-            self.edges[own[room]] = -np.sort(-both[room], axis=1)[:, :DEGREE]
+            near = self.edges[own, :DEGREE]
+            back[(back[:, :, None] == near[:, None, :]).any(2)] = -1
+            room = (near >= 0).sum(1) + (back >= 0).sum(1) <= DEGREE
+            both = np.concatenate([near, back], 1)
+            self.edges[own[room], :DEGREE] = -np.sort(-both[room], axis=1)[:, :DEGREE]
             if not room.all():
                 self.prune(own[~room], both[~room])
 

@@ -53,3 +53,14 @@ def test_every_node_can_be_reached():
     near, _ = graph.search(points, 20)
     assert (near[:, 0] == np.arange(1500)).mean() > 0.995
     assert ((graph.edges >= 0).sum(1) <= neighbours.DEGREE).all()
+
+
+def test_a_crowd_of_nearly_equal_vectors_traps_no_search():
+    crowd = RNG.normal(size=48) + 0.05 * RNG.normal(size=(600, 48))
+    x = np.concatenate([crowd, RNG.normal(size=(2500, 48))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = neighbours.Graph.build(neighbours.even_length(x))
+    q = x[::15]
+    near, _ = graph.search(np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), neighbours.BEAM)
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(near, best)]) > 0.93
