@@ -18,7 +18,7 @@ from ..types import Fields, name_of, new_value
 from ..world import World
 
 
-def proxies(columns: tuple[L.Column, ...], of: DataFrame | None = None) -> list[Fields]:
+def proxies(columns: tuple[L.Column, ...]) -> list[Fields]:
     """What predicates and systems see of an operator's columns."""
     if any(c.kind == "id" for c in columns):
         raise InvalidColumnType("an entity id cannot be passed to a function")
