@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
