@@ -154,7 +154,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAIN
                     ids[row] = sorted(ids[row] + [m for m, _ in items])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n, pa.int32()), pa.array(most, pa.float64()), pa.array(ids, pa.list_(pa.int64()))], names=b.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(shared.lean(run), out.schema)
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.ship import ship
 from .features import BUCKETS, features
+from .shared import lean
 
 _SAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.list_(pa.int32()))])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -59,7 +60,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
                 cuts = pa.array(np.searchsorted(row, np.arange(k - i + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:k], b.column(2)[i:k], pa.ListArray.from_arrays(cuts, pa.array(bucket, pa.int32()))], schema=_SAMPLE)
 
-    found = texts.mapInArrow(run, "doc_id long, label int, buckets array<int>").toArrow().combine_chunks()
+    found = texts.mapInArrow(lean(run), "doc_id long, label int, buckets array<int>").toArrow().combine_chunks()
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     lists = found["buckets"].combine_chunks() if found.num_rows else None
     if lists is None:
@@ -128,4 +129,4 @@ def score_documents(docs: DataFrame, model: Model, held_out: Column) -> DataFram
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:k], b.column(1)[i:k], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema=_SCORED)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")

@@ -95,7 +95,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
     shared.ship(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "uid long, doc_id long, h1 long, h2 long, prints array<long>, sketch binary")
+    return rows.mapInArrow(shared.lean(run), "uid long, doc_id long, h1 long, h2 long, prints array<long>, sketch binary")
 
 
 def print_links(prints: DataFrame, rows: int) -> DataFrame:
@@ -129,8 +129,8 @@ def print_links(prints: DataFrame, rows: int) -> DataFrame:
                     held = [h[cut:] for h in held]
         yield from found(*held)
 
-    sent = prints.select("t", "fp").mapInArrow(send, "cell long, fp long")
-    return sent.repartition(shared.parallelism(prints.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(meet, "t int, a long, b long")
+    sent = prints.select("t", "fp").mapInArrow(shared.lean(send), "cell long, fp long")
+    return sent.repartition(shared.parallelism(prints.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(shared.lean(meet), "t int, a long, b long")
 
 
 def verified_pairs(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:

@@ -169,7 +169,7 @@ def split_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, cap
                 if rows:
                     yield shared.batch(_PIECES, *zip(*rows, strict=True))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(shared.lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     shared.ship(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "uid long, doc_id long, fingerprint long")
+    return rows.mapInArrow(shared.lean(run), "uid long, doc_id long, fingerprint long")
 
 
 class Ball:
@@ -230,7 +230,7 @@ def links(prints: DataFrame) -> DataFrame:
 
     sent = prints.select("fingerprint").mapInArrow(send, "cell int, fingerprint long")
     dealt = sent.repartition(shared.parallelism(spark), "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(meet, "a long, b long")
+    return dealt.mapInArrow(shared.lean(meet), "a long, b long")
 
 
 def _least_of_components(distinct: DataFrame) -> DataFrame:

@@ -297,14 +297,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = shared.parallelism(spark)
     texts = _documents(docs)
-    found = texts.select("uid", "doc", "text").mapInArrow(_read_anchors, _ANCHOR_DDL).repartition(parts, "key")
-    found = shared.materialise(found.mapInArrow(_meet, "kind byte, key long, doc long, uid long, start int, end int, crowded boolean"))
+    found = texts.select("uid", "doc", "text").mapInArrow(shared.lean(_read_anchors), _ANCHOR_DDL).repartition(parts, "key")
+    found = shared.materialise(found.mapInArrow(shared.lean(_meet), "kind byte, key long, doc long, uid long, start int, end int, crowded boolean"))
     shared.release(spark)
     asked = found.where(f"kind = {ANCHOR}").drop("kind")
     bytes_ = texts.select("uid", F.col("text").cast("binary").alias("b")).where(f"octet_length(b) >= {LENGTH}")
     got = asked.join(bytes_, "uid").select("key", "doc", "uid", "start", "end", F.expr("substring(b, start + 1, end - start)").alias("bytes"), "crowded")
-    dealt = got.mapInArrow(_deal, "kind byte, key long, doc long, uid long, start int, end int, bytes binary").repartition(parts, "key").sortWithinPartitions("key")
-    more = shared.materialise(dealt.mapInArrow(_sort, "uid long, start int, end int"))
+    dealt = got.mapInArrow(shared.lean(_deal), "kind byte, key long, doc long, uid long, start int, end int, bytes binary").repartition(parts, "key").sortWithinPartitions("key")
+    more = shared.materialise(dealt.mapInArrow(shared.lean(_sort), "uid long, start int, end int"))
     shared.release(spark)
     spans = found.where(f"kind = {SPAN}").select("uid", "start", "end").union(more)
     return spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -345,7 +345,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 yield shared.batch(schema, b.column(0), *zip(*rows, strict=True))
 
     rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(shared.lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -362,4 +362,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return rows.mapInArrow(run, rows.drop("__spans").schema)
+    return rows.mapInArrow(shared.lean(run), rows.drop("__spans").schema)

@@ -110,7 +110,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
                 ids = ids.astype(kind)
                 yield shared.batch(_TOKENS, doc[i:k], pa.Array.from_buffers(pa.binary(), k - i, [None, pa.py_buffer((cuts * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(shared.lean(run), "doc_id long, ids binary")
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None) -> None:
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             yield shared.batch(_LINE, [write_block(doc_ids, ranks)])
 
     dealt = tokens.repartitionByRange(shared.parallelism(spark), "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(files, "line binary").select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/ids")
+    dealt.mapInArrow(shared.lean(files), "line binary").select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/ids")
     shared.remove(tokens)
 
 

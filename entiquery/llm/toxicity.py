@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .features import BUCKETS, WORD, features
 from .linear import Model, labelled_sample, logistic, remainder, score_documents
+from .shared import lean
 
 SAMPLE, STEMS, ROUNDS, PENALTY = 6000, 150, 25, 1e-4
 #: Log-likelihood ratios from which a stem is a voter and a feature is used by the classifier.
@@ -140,4 +141,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
             clean = [score < 0.5 for _, _, score in model.value.scores(b.column("text"))]
             yield b.filter(pa.array(np.concatenate(clean) if clean else np.zeros(0, bool)))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(lean(run), docs.schema)
