@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash brings together and whose five-word shingles agree to 0.8 one stays."""
+    """Of each group of documents linked by five-word shingles that agree to 0.8 one stays."""
     return neardup.without_near_duplicates(docs, least=0.8)
 
 

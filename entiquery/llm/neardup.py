@@ -1,14 +1,20 @@
-"""Near-duplicate documents: SimHash candidates by ball hashing, verified on five-word shingles.
+"""Near-duplicate documents: all pairs whose five-word shingles agree to 0.8, by a prefix-filtered join, verified exactly.
 
-One fingerprint of five-word shingles finds few of the pairs whose shingles agree to 0.8: their fingerprints
-differ in some ten bits. So candidates come from PRINTS independent fingerprints of the set of *words*, which changes
-much less: of 600 pairs of check_s with a similarity from 0.8 on, one such fingerprint brings 0.63 within 3 bits,
-four 0.94, eight 0.985. Every candidate pair is then verified: the Jaccard similarity of five-word
-shingles, exact where both texts have at most SKETCH shingles, else estimated from the SKETCH smallest hashes of the union.
+Two sets of shingles with a Jaccard similarity of ``least`` or more share one of their first n - ceil(least * n) + 1 shingles,
+in any order of all shingles that is the same for every text. So each text sends only this prefix, texts that share a
+shingle there meet, and no pair is lost. Where the shared shingle stands in both and how many shingles there are bounds what
+two texts can have in common; pairs that cannot reach ``least`` go at once, all others are verified on all their shingles
+(64-bit hashes). The order puts shingles that are common in a sample of documents last, so that passages which
+many texts hold bring few of them together; the sample bears on the work only, never on the result.
 
-Equal texts are one class first. Within a fingerprint, classes that share it or lie within 3 bits are paired with a
-centre, another one for each of the PRINTS fingerprints, so pairs grow with the documents and not with the squares of
-groups. Verified pairs make groups by connected components, and of each group the smallest doc_id stays.
+1. Equal texts are one class. For some rounds each class is paired, at every shingle where it meets others, with one
+   neighbour of another group: by size first, then in a random order. What is verified makes groups by connected
+   components, so a large family of copies becomes one group without all of its pairs.
+2. Every other pair that meets and is in different groups yet is verified too; then groups are final. Of each group the
+   smallest doc_id stays.
+
+Pairs of step 2 grow with the squares of texts that meet at a shingle without being similar: the price of missing none.
+A task holds the classes that meet at one shingle (28 bytes each). What is collected are the at most COMMON common shingles.
 
 Defined results: a null text is empty; texts without words are alike; texts of fewer than five words have one
 shingle, the whole; a null doc_id comes before all others; an empty table gives no rows; further columns are kept.
@@ -24,53 +30,87 @@ from pyspark.sql import functions as F
 
 from . import graph, shared
 from .features import SOLID
-from .simhash import Ball, cell_bits
-from .words import gram_hashes, hash_words, mix
-
-PRINTS, WORDS, SIMILARITY, SKETCH = 6, 5, 0.8, 256
-#: Distinct words whose bits are summed at once.
-SUM = 1 << 16
-_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("prints", pa.list_(pa.int64())), ("sketch", pa.binary())])
-_SENT = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
-_LINK = pa.schema([("t", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+from .words import gram_hashes, hash_words
 
-
-def word_prints(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """(n x PRINTS): of each row the bits set in over half of its words' hashes, for PRINTS ways of hashing."""
-    out = np.zeros((n, PRINTS), np.uint64)
-    if not len(rows):
-        return out
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    size = np.diff(np.r_[first, len(rows)])
-    for t in range(PRINTS):
-        bits = np.unpackbits(mix(hashes + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out[rows[first], t] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
-    return out
+WORDS, SIMILARITY = 5, 0.8
+#: Documents whose shingles are counted; shingles in OFTEN of them or more, at most COMMON, come last in the order.
+SAMPLE, OFTEN, COMMON = 20_000, 3, 1 << 15
+#: Rounds in which neighbours are paired before all pairs are.
+ROUNDS = 4
+#: Rows that met, and pairs, that are worked through together.
+MEET = 1 << 16
+_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int32()), ("prefix", pa.binary())])
+_SENT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_GRAM = pa.schema([("gram", pa.int64())])
+_MARKS = pa.schema([("id", pa.int64()), ("marks", pa.binary())])
 
 
 def sketch(words: np.ndarray) -> bytes:
-    """The smallest hashes of the distinct shingles, sorted, 4 bytes each; all of them if there are at most SKETCH."""
+    """The hashes of all distinct shingles, sorted, 8 bytes each."""
     if not len(words):
         return b""
-    grams = np.unique((gram_hashes(words, min(WORDS, len(words))) >> np.uint64(32)).astype(np.uint32))
-    return grams[:SKETCH].tobytes()
+    return np.unique(gram_hashes(words, min(WORDS, len(words)))).tobytes()
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    """Jaccard similarity of two sketches."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     both = np.sort(np.concatenate([x, y]))
-    new = np.r_[True, both[1:] != both[:-1]]
-    least = min(SKETCH, int(new.sum()))
-    end = int(np.flatnonzero(new)[least]) if least < new.sum() else len(both)
-    return (end - least) / least  # a value that stands in both stands twice
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
+
+
+def _reach(least: float) -> float:
+    """``least`` with room for rounding; the same for prefixes, bounds and verification."""
+    return least - 1e-9
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first of these distinct sorted shingles, those in ``common`` last; one of them is shared by all that agree to ``least``."""
+    n = len(grams)
+    if not n:
+        return np.zeros(1, np.uint64)  # texts without words meet here
+    late = np.isin(grams, common, assume_unique=True) if len(common) else np.zeros(n, bool)
+    if late.any():
+        rank = np.zeros(n, np.int64)
+        by = np.argsort(common)
+        rank[late] = by[np.searchsorted(common, grams[late], sorter=by)] + 1
+        grams = grams[np.argsort(rank, kind="stable")]
+    return grams[: n - int(np.ceil(_reach(least) * n)) + 1]
+
+
+def may_agree(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets whose first shared shingle stands at these places can agree to ``least``."""
+    needed = np.ceil(_reach(least) / (1 + _reach(least)) * (size_a.astype(np.int64) + size_b))
+    return np.minimum(size_a - place_a, size_b - place_b) >= needed
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles of OFTEN or more of some SAMPLE documents, the most common last."""
+    total = docs.count()
+
+    def run(batches):
+        for b in batches:
+            for i, k, hashes, before in hash_words(b.column(0), word_bytes=SOLID):
+                for a, c in zip(before, before[1:]):
+                    yield shared.batch(_GRAM, np.frombuffer(sketch(hashes[a:c]), np.int64))
+
+    some = _texts(docs).where(F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < int(SAMPLE / max(total, 1) * (1 << 20)) + 1)
+    counts = some.select("text").mapInArrow(shared.lean(run), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    rows = counts.orderBy(F.desc("n"), "gram").limit(COMMON).collect()
+    return np.array([r["gram"] for r in rows[::-1]], np.int64).view(np.uint64)
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, h1, h2, prints, sketch) of every row; h1 and h2 hash the whole text."""
+def describe(docs: DataFrame, least: float) -> DataFrame:
+    """(uid, doc_id, h1, h2, size, prefix) of every row; h1 and h2 hash the whole text, size counts its shingles."""
+    common = common_shingles(docs)
 
     def run(batches):
         from xxhash import xxh3_128_intdigest
@@ -78,89 +118,142 @@ def describe(docs: DataFrame) -> DataFrame:
         for b in batches:
             uid, doc, text = b.columns
             for i, k, hashes, before in hash_words(text, word_bytes=SOLID):
-                n = k - i
-                rows = np.repeat(np.arange(n), np.diff(before))
-                order = np.lexsort((hashes, rows))
-                h, r = hashes[order], rows[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])] if len(h) else np.zeros(0, bool)
-                h, r = h[new], r[new]
-                prints = np.zeros((n, PRINTS), np.uint64)
-                cuts = np.searchsorted(r, np.arange(n + 1))
-                for x, y in shared.blocks(cuts, SUM):
-                    prints[x:y] = word_prints(h[cuts[x] : cuts[y]], r[cuts[x] : cuts[y]] - x, y - x)
+                grams = [np.frombuffer(sketch(hashes[a:c]), np.uint64) for a, c in zip(before, before[1:])]
                 whole = [xxh3_128_intdigest((t or "").encode()) for t in text[i:k].to_pylist()]
                 whole = np.array([(w & (1 << 64) - 1, w >> 64) for w in whole], np.uint64).reshape(-1, 2).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * PRINTS, pa.int32()), pa.array(prints.reshape(-1).view(np.int64)))
-                yield shared.batch(_ROWS, uid[i:k], doc[i:k], whole[:, 0].copy(), whole[:, 1].copy(), lists, [sketch(hashes[a:c]) for a, c in zip(before, before[1:])])
+                yield shared.batch(_ROWS, uid[i:k], doc[i:k], whole[:, 0].copy(), whole[:, 1].copy(), [len(g) for g in grams], [prefix(g, common, least).tobytes() for g in grams])
+
+    return _texts(docs).mapInArrow(shared.lean(run), "uid long, doc_id long, h1 long, h2 long, size int, prefix binary")
 
-    shared.ship(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(shared.lean(run), "uid long, doc_id long, h1 long, h2 long, prints array<long>, sketch binary")
 
+def _whole_keys(batches):
+    """Columns of rows sorted by the first one, cut between its values."""
+    held = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        if held[0][0][0] == held[-1][0][-1] or sum(len(h[0]) for h in held) < MEET:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        yield [c[:cut] for c in cols]
+        held = [[c[cut:] for c in cols]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
-def print_links(prints: DataFrame, rows: int) -> DataFrame:
-    """(t, a, b): links that connect the distinct fingerprints of each t (t, fp) that lie within 3 bits."""
-    ball = Ball(cell_bits(rows))
+
+def meetings(classes: DataFrame) -> DataFrame:
+    """(key, id, size, place) of all that share a shingle of their prefixes; key is the shingle, place where it stands."""
 
     def send(batches):
         for b in batches:
-            t, p = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-            for which in np.unique(t).tolist():
-                own = p[t == which]
-                for i in range(0, len(own), 4096):
-                    cells, sent = ball.sent(own[i : i + 4096])
-                    yield shared.batch(_SENT, cells.astype(np.int64) * PRINTS + which, sent.view(np.int64))
-
-    def found(cell, p):
-        t = (cell % PRINTS).astype(np.int32)
-        for which in np.unique(t).tolist():
-            own = t == which
-            pairs = ball.links((cell[own] // PRINTS).astype(np.int32), p[own])
-            yield shared.batch(_LINK, np.full(len(pairs), which, np.int32), pairs[:, 0].copy().view(np.int64), pairs[:, 1].copy().view(np.int64))
+            ids, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+            sent = [np.frombuffer(p, np.int64) for p in b.column(2).to_pylist()]
+            n = np.array([len(s) for s in sent], np.int64)
+            for i, k in shared.blocks(np.r_[0, np.cumsum(n)], MEET):
+                some = n[i:k]
+                place = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+                yield shared.batch(_SENT, np.concatenate(sent[i:k]), np.repeat(ids[i:k], some), np.repeat(size[i:k], some), place.astype(np.int32))
 
     def meet(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        for b in batches:
-            held = [np.concatenate([h, b.column(c).to_numpy().view(h.dtype)]) for c, h in enumerate(held)]
-            if len(held[0]) >= 1 << 15:  # all cells but the last are complete
-                cut = int(np.searchsorted(held[0], held[0][-1]))
-                if cut:
-                    yield from found(*(h[:cut] for h in held))
-                    held = [h[cut:] for h in held]
-        yield from found(*held)
+        for cols in _whole_keys(batches):
+            same = cols[0][1:] == cols[0][:-1]
+            met = np.r_[False, same] | np.r_[same, False]
+            yield shared.batch(_SENT, *(c[met] for c in cols))
+
+    sent = classes.select("id", "size", "prefix").mapInArrow(shared.lean(send), "key long, id long, size int, place int")
+    sent = sent.repartition(shared.parallelism(classes.sparkSession), "key").sortWithinPartitions("key")
+    return sent.mapInArrow(shared.lean(meet), "key long, id long, size int, place int")
+
 
-    sent = prints.select("t", "fp").mapInArrow(shared.lean(send), "cell long, fp long")
-    return sent.repartition(shared.parallelism(prints.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(shared.lean(meet), "t int, a long, b long")
+def pairs_between(met: DataFrame, least: float, turn: int | None = None) -> DataFrame:
+    """(a, b), a > b, repeats included: those of ``met`` (key, id, size, place, root) that share a key, have different roots and may agree.
 
+    All of them, or for a ``turn`` of each row the pair with the last one before it of another root: by size (0) or in a random order.
+    """
 
-def verified_pairs(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of class ids whose sketches agree to ``least``."""
-    sketches = lambda c: classes.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    both = pairs.join(sketches("a"), "a").join(sketches("b"), "b")
+    def paired(size, place, ids, at, to):
+        good = may_agree(size[at], place[at], size[to], place[to], least)
+        x, y = ids[at[good]], ids[to[good]]
+        return np.stack([np.maximum(x, y), np.minimum(x, y)], 1)
+
+    def run(batches):
+        for key, ids, size, place, root in _whole_keys(batches):
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+            keep = np.repeat(mixed, np.diff(np.r_[first, len(key)]))
+            key, ids, size, place, root = (c[keep] for c in (key, ids, size, place, root))
+            if not len(key):
+                continue
+            if turn is not None:
+                run_starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (root[1:] != root[:-1])])
+                to = np.repeat(run_starts, np.diff(np.r_[run_starts, len(key)])) - 1
+                at = np.flatnonzero((to >= 0) & (key[to] == key))
+                pairs = np.unique(paired(size, place, ids, at, to[at]), axis=0)
+                yield shared.batch(_PAIR, pairs[:, 0].copy(), pairs[:, 1].copy())
+                continue
+            at, step, found, many = np.arange(len(key)), 0, [], 0
+            while len(at):
+                step += 1
+                at = at[at + step < len(key)]
+                to = at + step
+                inside = (key[at] == key[to]) & (size[at] >= _reach(least) * size[to])  # sizes ascend within a key
+                at, to = at[inside], to[inside]
+                apart = root[at] != root[to]
+                found.append(paired(size, place, ids, at[apart], to[apart]))
+                many += len(found[-1])
+                if many >= MEET or not len(at):
+                    pairs = np.unique(np.concatenate(found), axis=0)
+                    yield shared.batch(_PAIR, pairs[:, 0].copy(), pairs[:, 1].copy())
+                    found, many = [], 0
+
+    by = F.xxhash64("id", F.lit(turn)) if turn else F.col("size").cast("long")
+    rows = met.select("key", "id", "size", "place", "root", by.alias("by")).repartition(shared.parallelism(met.sparkSession), "key")
+    rows = rows.sortWithinPartitions("key", "by", "id").drop("by")
+    return rows.mapInArrow(shared.lean(run), "a long, b long")
+
+
+def verified_pairs(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of rows of ``docs`` whose shingles agree to ``least``."""
+
+    def marks(batches):
+        for b in batches:
+            for i, k, hashes, before in hash_words(b.column(1), word_bytes=SOLID):
+                yield shared.batch(_MARKS, b.column(0)[i:k], [sketch(hashes[a:c]) for a, c in zip(before, before[1:])])
 
     def run(batches):
         for x in batches:
             a, b = x.column(2).to_pylist(), x.column(3).to_pylist()
-            keep = pa.array([similarity(s, t) >= least - 1e-9 for s, t in zip(a, b, strict=True)], pa.bool_())
+            keep = pa.array([similarity(s, t) >= _reach(least) for s, t in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], schema=_PAIR).filter(keep)
 
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    texts = _texts(docs).join(wanted, "uid", "left_semi").select("uid", "text")
+    lists = shared.materialise(texts.mapInArrow(shared.lean(marks), "id long, marks binary"))
+    of = lambda c: lists.select(F.col("id").alias(c), F.col("marks").alias(f"marks_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", "marks_a", "marks_b").mapInArrow(shared.lean(run), "a long, b long")
 
 
 def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs``, all columns, with one row of each group of near duplicates: the smallest doc_id's, the first in the scan."""
-    rows = shared.materialise(describe(docs))
-    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.first("prints").alias("prints"), F.first("sketch").alias("sketch"))
-    classes = shared.materialise(classes.select(F.col("first.uid").alias("id"), "first", "prints", "sketch"))
-    nodes = classes.select("id", F.posexplode("prints").alias("t", "fp"))
-    centres = shared.materialise(nodes.groupBy("t", "fp").agg(F.min_by("id", F.xxhash64("id", "t")).alias("centre")))
-    alike = nodes.join(centres, ["t", "fp"]).where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
-    near = shared.materialise(print_links(centres, classes.count()))
+    shared.ship(docs.sparkSession)
+    rows = shared.materialise(describe(docs, least))
+    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    classes = shared.materialise(classes.select(F.col("first.uid").alias("id"), "first", "size", "prefix"))
+    shared.remove(rows)
+    met = shared.materialise(meetings(classes))
     shared.release(docs.sparkSession)
-    end = lambda c: centres.select("t", F.col("fp").alias(c), F.col("centre").alias(f"c{c}"))
-    near = near.join(end("a"), ["t", "a"]).join(end("b"), ["t", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    pairs = alike.union(near).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    label = shared.materialise(graph.components(verified_pairs(pairs, classes, least)))
+    label, tried = None, None
+    for turn in (*range(ROUNDS), None):
+        root = met.withColumn("root", F.col("id")) if label is None else met.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        pairs = pairs_between(root, least, turn).distinct()
+        pairs = shared.materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        links = verified_pairs(pairs, docs, least)
+        label = shared.materialise(graph.components(links if label is None else links.union(label.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        shared.release(docs.sparkSession)
     first = classes.select("id", "first")
     grouped = label.join(first, label["node"] == first["id"]).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("id"))
     lone = first.join(label.select(F.col("node").alias("id")), "id", "left_anti").select("id")

@@ -82,3 +82,35 @@ def test_one_large_family(spark):
         docs.append((i, " ".join(v)))
     frame = shared.materialise(spark.createDataFrame(docs, "doc_id long, text string"))
     assert [r["doc_id"] for r in neardup.without_near_duplicates(frame).collect()] == [0]
+
+
+def left_and_groups(spark, texts):
+    """doc_ids that stay, and the smallest of each group by brute force."""
+    frame = shared.materialise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    left = {r["doc_id"] for r in neardup.without_near_duplicates(frame).collect()}
+    marks = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(marks):
+        for k in range(i):
+            if root[i] != root[k] and len(x & marks[k]) >= 0.8 * len(x | marks[k]):
+                low, high = sorted((root[i], root[k]))
+                root = [low if r == high else r for r in root]
+    return left, set(root)
+
+
+def edited(words, rng, edits, mark):
+    v = list(words)
+    for p in rng.choice(len(v), edits, replace=False):
+        v[int(p)] = f"{mark}{p}"
+    return " ".join(v)
+
+
+def test_pairs_within_three_bits_that_a_forest_leaves_out(spark):
+    rng = np.random.default_rng(31)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for family in range(25):  # the same words but a few, in an order of the family's own: fingerprints lie close
+        order = [words[i] for i in rng.permutation(400)]
+        texts += [edited(order, rng, 3, f"f{family}a"), edited(order, rng, 3, f"f{family}b")]
+    left, groups = left_and_groups(spark, texts)
+    assert len(groups) == 25 and left == groups
