@@ -114,3 +114,14 @@ def test_pairs_within_three_bits_that_a_forest_leaves_out(spark):
         texts += [edited(order, rng, 3, f"f{family}a"), edited(order, rng, 3, f"f{family}b")]
     left, groups = left_and_groups(spark, texts)
     assert len(groups) == 25 and left == groups
+
+
+def test_families_of_one_fingerprint(spark):
+    rng = np.random.default_rng(32)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(25):  # exactly the same words: every text has the same word fingerprints
+        order = [words[i] for i in rng.permutation(150)]
+        texts += [" ".join(order), " ".join([*order[:70], order[71], order[70], *order[72:]])]
+    left, groups = left_and_groups(spark, texts)
+    assert len(groups) == 25 and left == groups
