@@ -125,3 +125,15 @@ def test_families_of_one_fingerprint(spark):
         texts += [" ".join(order), " ".join([*order[:70], order[71], order[70], *order[72:]])]
     left, groups = left_and_groups(spark, texts)
     assert len(groups) == 25 and left == groups
+
+
+def test_long_texts_close_to_the_threshold(spark):
+    rng = np.random.default_rng(33)
+    texts = []
+    for pair in range(40):  # one block of new words of some length: similarities of 0.79 and 0.81
+        w = [f"p{pair}w{i}" for i in range(1000)]
+        new = 114 if pair % 2 else 101
+        at = int(rng.integers(100, 700))
+        texts += [" ".join(w), " ".join([*w[:at], *(f"new{pair}x{i}" for i in range(new)), *w[at + new :]])]
+    left, groups = left_and_groups(spark, texts)
+    assert len(groups) == 60 and left == groups
