@@ -137,3 +137,26 @@ def test_long_texts_close_to_the_threshold(spark):
         texts += [" ".join(w), " ".join([*w[:at], *(f"new{pair}x{i}" for i in range(new)), *w[at + new :]])]
     left, groups = left_and_groups(spark, texts)
     assert len(groups) == 60 and left == groups
+
+
+def test_no_pair_from_the_threshold_on_is_missed(spark):
+    rng = np.random.default_rng(34)
+    texts = []
+    for pair in range(300):  # short texts: one word more moves many bits of a word fingerprint
+        w = [f"v{i}" for i in rng.integers(0, 5000, int(rng.integers(12, 40)))]
+        texts += [" ".join(w), " ".join([*w, f"last{pair}"])]
+    left, groups = left_and_groups(spark, texts)
+    assert len(groups) == 300 and left == groups
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(35)
+    for n in [*range(1, 60), 500, 2000]:
+        a = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+        for new in range(int(n * 0.25) + 1):
+            b = np.unique(np.r_[a, rng.integers(1, 1 << 63, new, dtype=np.uint64)])
+            common = rng.permutation(a)[: n // 2]
+            x, y = neardup.prefix(a, common, 0.8), neardup.prefix(b, common, 0.8)
+            both, i, k = np.intersect1d(x, y, return_indices=True)
+            if neardup.similarity(a.tobytes(), b.tobytes()) >= 0.8:
+                assert len(both) and neardup.may_agree(len(a) + 0 * i, i, len(b) + 0 * k, k, 0.8).any()
