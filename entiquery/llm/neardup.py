@@ -1,24 +1,28 @@
-"""Near-duplicate documents: all pairs whose five-word shingles agree to 0.8, by a prefix-filtered join, verified exactly.
-
-Two sets of shingles with a Jaccard similarity of ``least`` or more share one of their first n - ceil(least * n) + 1 shingles,
-in any order of all shingles that is the same for every text. So each text sends only this prefix, texts that share a
-shingle there meet, and no pair is lost. Where the shared shingle stands in both and how many shingles there are bounds what
-two texts can have in common; pairs that cannot reach ``least`` go at once, all others are verified on all their shingles
-(64-bit hashes). The order puts shingles that are common in a sample of documents last, so that passages which
-many texts hold bring few of them together; the sample bears on the work only, never on the result.
-
-1. Equal texts are one class. For some rounds each class is paired, at every shingle where it meets others, with one
-   neighbour of another group: by size first, then in a random order. What is verified makes groups by connected
-   components, so a large family of copies becomes one group without all of its pairs.
-2. Every other pair that meets and is in different groups yet is verified too; then groups are final. Of each group the
-   smallest doc_id stays.
-
-Pairs of step 2 grow with the squares of texts that meet at a shingle without being similar: the price of missing none.
-A task holds the classes that meet at one shingle (28 bytes each). What is collected are the at most COMMON common shingles.
+"""Near-duplicate documents: SimHash links by ball hashing, and all that agrees to 0.8 in five-word shingles beyond them.
+
+Two texts are alike if the Jaccard similarity of their five-word shingles is ``least`` or more. Equal texts are one class.
+
+1. SimHash. Each class has the fingerprint of its five-word shingles. Ball hashing finds the fingerprints within 3 bits
+   (module ``simhash``); each class is paired with the first one of its fingerprint, and those with each other along
+   the links. What is verified on all shingles makes groups by connected components, so most copies, and large families of
+   them, are groups before anything else is compared.
+2. The rest. Fingerprints of texts that agree to 0.8 differ in some ten bits, so links of 3 bits alone would lose most
+   pairs near that bound. But two sets with that similarity share one of their first n - ceil(least * n) + 1 shingles, in any
+   order of all shingles that is the same for every text. So each text sends only this prefix, texts that share a shingle
+   there meet, and no pair is lost. Where the shared shingle stands in both and how many shingles there are bounds what two
+   texts can have in common; pairs that cannot reach ``least`` go at once, all others are verified on all their shingles
+   (64-bit hashes). The order puts shingles that are common in a sample of documents last, so that passages which many
+   texts hold bring few of them together; the sample bears on the work only, never on the result. For some rounds each class is
+   paired, at every shingle where it meets others, with one neighbour of another group: by size first, then in a random
+   order. In the end every other pair that meets and is in different groups yet is verified too, and groups are final.
+3. Of each group the smallest doc_id stays.
+
+Pairs of the last search grow with the squares of texts that meet at a shingle without being similar: the price of missing
+none. A task holds the classes that meet at one shingle (28 bytes each). What is collected are the at most COMMON common shingles.
 
 Defined results: a null text is empty; texts without words are alike; texts of fewer than five words have one
-shingle, the whole; a null doc_id comes before all others; an empty table gives no rows; further columns are kept.
-``docs`` must be a table that reads the same way each time.
+shingle, the whole; a null doc_id comes before all others; an empty table gives no rows; further columns are kept,
+whatever their names. ``docs`` must be a table that reads the same way each time.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, shared
+from . import graph, shared, simhash
 from .features import SOLID
 from .words import gram_hashes, hash_words
 
@@ -39,7 +43,7 @@ SAMPLE, OFTEN, COMMON = 20_000, 3, 1 << 15
 ROUNDS = 4
 #: Rows that met, and pairs, that are worked through together.
 MEET = 1 << 16
-_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int32()), ("prefix", pa.binary())])
+_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int32()), ("prefix", pa.binary()), ("print", pa.int64())])
 _SENT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _GRAM = pa.schema([("gram", pa.int64())])
@@ -109,7 +113,10 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def describe(docs: DataFrame, least: float) -> DataFrame:
-    """(uid, doc_id, h1, h2, size, prefix) of every row; h1 and h2 hash the whole text, size counts its shingles."""
+    """(uid, doc_id, h1, h2, size, prefix, print) of every row.
+
+    h1 and h2 hash the whole text, size counts its shingles, print is the SimHash of them all.
+    """
     common = common_shingles(docs)
 
     def run(batches):
@@ -117,13 +124,23 @@ def describe(docs: DataFrame, least: float) -> DataFrame:
 
         for b in batches:
             uid, doc, text = b.columns
-            for i, k, hashes, before in hash_words(text, word_bytes=SOLID):
+            for (i, k, hashes, before), (_, _, prints) in zip(hash_words(text, word_bytes=SOLID), simhash.block_prints(text, WORDS), strict=True):
                 grams = [np.frombuffer(sketch(hashes[a:c]), np.uint64) for a, c in zip(before, before[1:])]
                 whole = [xxh3_128_intdigest((t or "").encode()) for t in text[i:k].to_pylist()]
                 whole = np.array([(w & (1 << 64) - 1, w >> 64) for w in whole], np.uint64).reshape(-1, 2).view(np.int64)
-                yield shared.batch(_ROWS, uid[i:k], doc[i:k], whole[:, 0].copy(), whole[:, 1].copy(), [len(g) for g in grams], [prefix(g, common, least).tobytes() for g in grams])
+                first = [prefix(g, common, least).tobytes() for g in grams]
+                yield shared.batch(_ROWS, uid[i:k], doc[i:k], whole[:, 0].copy(), whole[:, 1].copy(), [len(g) for g in grams], first, prints.view(np.int64))
 
-    return _texts(docs).mapInArrow(shared.lean(run), "uid long, doc_id long, h1 long, h2 long, size int, prefix binary")
+    return _texts(docs).mapInArrow(shared.lean(run), "uid long, doc_id long, h1 long, h2 long, size int, prefix binary, print long")
+
+
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b), a > b: each class with the first of its fingerprint, and the first ones of linked fingerprints."""
+    centres = shared.materialise(classes.groupBy(F.col("print").alias("fingerprint")).agg(F.min("id").alias("centre")))
+    own = classes.join(centres, classes["print"] == centres["fingerprint"]).where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    of = lambda c: centres.select(F.col("fingerprint").alias(c), F.col("centre").alias(f"id_{c}"))
+    linked = simhash.links(centres).join(of("a"), "a").join(of("b"), "b").select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
+    return own.union(linked).distinct()
 
 
 def _whole_keys(batches):
@@ -238,24 +255,33 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame
 
 def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs``, all columns, with one row of each group of near duplicates: the smallest doc_id's, the first in the scan."""
-    shared.ship(docs.sparkSession)
+    spark = docs.sparkSession
+    shared.ship(spark)
     rows = shared.materialise(describe(docs, least))
-    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    classes = shared.materialise(classes.select(F.col("first.uid").alias("id"), "first", "size", "prefix"))
+    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid")).alias("first"), *(F.first(c).alias(c) for c in ("size", "prefix", "print")))
+    classes = shared.materialise(classes.select(F.col("first.uid").alias("id"), "first", "size", "prefix", "print"))
     shared.remove(rows)
+    tried, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
+
+    def verify(pairs: DataFrame) -> None:
+        """Groups grow by those of the pairs that are alike."""
+        nonlocal tried, label
+        pairs = shared.materialise(pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            return
+        tried = tried.union(pairs)
+        links = verified_pairs(pairs, docs, least)
+        label = shared.materialise(graph.components(links.union(label.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        shared.release(spark)
+
+    verify(fingerprint_pairs(classes))
     met = shared.materialise(meetings(classes))
-    shared.release(docs.sparkSession)
-    label, tried = None, None
     for turn in (*range(ROUNDS), None):
-        root = met.withColumn("root", F.col("id")) if label is None else met.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        pairs = pairs_between(root, least, turn).distinct()
-        pairs = shared.materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        links = verified_pairs(pairs, docs, least)
-        label = shared.materialise(graph.components(links if label is None else links.union(label.select(F.col("node").alias("a"), F.col("root").alias("b")))))
-        shared.release(docs.sparkSession)
+        rooted = met.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        verify(pairs_between(rooted, least, turn).distinct())
     first = classes.select("id", "first")
     grouped = label.join(first, label["node"] == first["id"]).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("id"))
     lone = first.join(label.select(F.col("node").alias("id")), "id", "left_anti").select("id")
-    kept = shared.materialise(grouped.union(lone).select(F.col("id").alias("__uid")))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, "__uid", "left_semi").drop("__uid")
+    uid = shared.fresh(docs, "uid")
+    kept = shared.materialise(grouped.union(lone).select(F.col("id").alias(uid)))
+    return docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, uid, "left_semi").drop(uid)

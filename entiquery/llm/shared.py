@@ -53,6 +53,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, whatever the case of letters."""
+    taken, tried = {c.lower() for c in df.columns}, f"__{name}"
+    while tried.lower() in taken:
+        tried += "_"
+    return tried
+
+
 def lean(run: Callable) -> Callable:
     """For functions over batches: a worker gives freed memory back to the system when a task ends.
 

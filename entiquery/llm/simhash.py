@@ -78,19 +78,23 @@ def long_print(data: np.ndarray, words: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def block_prints(text: pa.Array, words: int):
+    """Yields (first row, last row, fingerprints) for blocks of a string column, whole texts."""
+    data, offsets = shared.utf8(text)
+    for i, k in shared.blocks(offsets):
+        if k == i + 1 and offsets[k] - offsets[i] > shared.CHUNK_BYTES:
+            yield i, k, np.array([long_print(data[offsets[i] : offsets[k]], words)], np.uint64)
+        else:
+            yield i, k, majority_bits([shingle_hashes(t or "", words) for t in text[i:k].to_pylist()])
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(uid, doc_id, fingerprint) of whole texts; uid is the row's place in the scan."""
 
     def run(batches):
         for b in batches:
             uid, doc, text = b.columns
-            data, offsets = shared.utf8(text)
-            for i, k in shared.blocks(offsets):
-                if k == i + 1 and offsets[k] - offsets[i] > shared.CHUNK_BYTES:
-                    one = np.array([long_print(data[offsets[i] : offsets[k]], words)], np.uint64)
-                    yield shared.batch(_PRINT, uid[i:k], doc[i:k], one.view(np.int64))
-                    continue
-                prints = majority_bits([shingle_hashes(t or "", words) for t in text[i:k].to_pylist()])
+            for i, k, prints in block_prints(text, words):
                 yield shared.batch(_PRINT, uid[i:k], doc[i:k], prints.view(np.int64))
 
     shared.ship(docs.sparkSession)
@@ -249,14 +253,3 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     distinct = shared.materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     rows = rows.join(_least_of_components(distinct), "fingerprint")
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
-
-
-def without_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs``, all columns, with one row of each component: that of the smallest doc_id, the first in the scan.
-
-    ``docs`` must be a table that reads the same way each time. A null doc_id comes before all others.
-    """
-    rows = shared.materialise(fingerprints(docs, words))
-    distinct = shared.materialise(rows.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "uid")).alias("first")))
-    kept = _least_of_components(distinct).select(F.col("least.uid").alias("__uid")).distinct()
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, "__uid", "left_semi").drop("__uid")

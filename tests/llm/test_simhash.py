@@ -103,16 +103,3 @@ def test_long_texts(monkeypatch):
 def test_null_id(spark):
     frame = spark.createDataFrame([(None, "x y z"), (4, "x y z"), (None, "q")], "doc_id long, text string")
     assert sorted((str(r[0]), str(r[2])) for r in simhash.near_duplicates(frame).collect()) == [("4", "4"), ("None", "4"), ("None", "None")]
-
-
-def test_one_of_each_group_stays(spark):
-    from entiquery.llm import shared
-
-    docs = corpus()
-    frame = shared.materialise(spark.createDataFrame([(d, t, "k") for d, t in docs], "doc_id long, text string, uid string").coalesce(1))
-    kept = simhash.without_near_duplicates(frame, words=3)
-    assert kept.columns == frame.columns
-    prints = [brute_print(t) for _, t in docs]
-    root = brute_roots(prints, lambda a, b: (a ^ b).bit_count() <= 3)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(d for (d, _), x in zip(docs, root, strict=True) if x == r) for r in set(root))
-    assert simhash.without_near_duplicates(frame.limit(0)).count() == 0
