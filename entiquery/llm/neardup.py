@@ -8,17 +8,17 @@ Two texts are alike if the Jaccard similarity of their five-word shingles is ``l
    them, are groups before anything else is compared.
 2. The rest. Fingerprints of texts that agree to 0.8 differ in some ten bits, so links of 3 bits alone would lose most
    pairs near that bound. But two sets with that similarity share one of their first n - ceil(least * n) + 1 shingles, in any
-   order of all shingles that is the same for every text. So each text sends only this prefix, texts that share a shingle
-   there meet, and no pair is lost. Where the shared shingle stands in both and how many shingles there are bounds what two
-   texts can have in common; pairs that cannot reach ``least`` go at once, all others are verified on all their shingles
-   (64-bit hashes). The order puts shingles that are common in a sample of documents last, so that passages which many
-   texts hold bring few of them together; the sample bears on the work only, never on the result. For some rounds each class is
-   paired, at every shingle where it meets others, with one neighbour of another group: by size first, then in a random
+   order of all shingles that is the same for every text. The order here is by the number of texts that hold a shingle, rarest
+   first, counted over all texts. What stands in one text alone leads nowhere, so a text whose prefix is all its own has
+   no partner; the others send the rest of their prefix, texts that share a shingle there meet, and no pair is lost.
+   Where the shared shingle stands in both and how many shingles there are bounds what two texts can have in common; pairs that
+   cannot reach ``least`` go at once, all others are verified on all their shingles (64-bit hashes). For some rounds each class
+   is paired, at every shingle where it meets others, with one neighbour of another group: by size first, then in a random
    order. In the end every other pair that meets and is in different groups yet is verified too, and groups are final.
 3. Of each group the smallest doc_id stays.
 
-Pairs of the last search grow with the squares of texts that meet at a shingle without being similar: the price of missing
-none. A task holds the classes that meet at one shingle (28 bytes each). What is collected are the at most COMMON common shingles.
+Shingles travel in blocks by hash: 16 bytes each to be counted, and only those of two texts or more come back. A task holds one
+of BUCKETS blocks a partition, or the classes that meet at one shingle (28 bytes each). Nothing is collected.
 
 Defined results: a null text is empty; texts without words are alike; texts of fewer than five words have one
 shingle, the whole; a null doc_id comes before all others; an empty table gives no rows; further columns are kept,
@@ -37,16 +37,17 @@ from .features import SOLID
 from .words import gram_hashes, hash_words
 
 WORDS, SIMILARITY = 5, 0.8
-#: Documents whose shingles are counted; shingles in OFTEN of them or more, at most COMMON, come last in the order.
-SAMPLE, OFTEN, COMMON = 20_000, 3, 1 << 15
+#: Blocks of shingles a shuffle partition has; shingles that a task sorts into them at once.
+BUCKETS, SORT = 64, 1 << 20
 #: Rounds in which neighbours are paired before all pairs are.
-ROUNDS = 4
+ROUNDS = 2
 #: Rows that met, and pairs, that are worked through together.
 MEET = 1 << 16
-_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int32()), ("prefix", pa.binary()), ("print", pa.int64())])
+_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int32()), ("print", pa.int64())])
 _SENT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_GRAM = pa.schema([("gram", pa.int64())])
+_BLOCK = pa.schema([("bucket", pa.int32()), ("text", pa.binary()), ("gram", pa.binary()), ("held", pa.binary())])
+_BLOCK_DDL = "bucket int, text binary, gram binary, held binary"
 _MARKS = pa.schema([("id", pa.int64()), ("marks", pa.binary())])
 
 
@@ -72,18 +73,9 @@ def _reach(least: float) -> float:
     return least - 1e-9
 
 
-def prefix(grams: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """The first of these distinct sorted shingles, those in ``common`` last; one of them is shared by all that agree to ``least``."""
-    n = len(grams)
-    if not n:
-        return np.zeros(1, np.uint64)  # texts without words meet here
-    late = np.isin(grams, common, assume_unique=True) if len(common) else np.zeros(n, bool)
-    if late.any():
-        rank = np.zeros(n, np.int64)
-        by = np.argsort(common)
-        rank[late] = by[np.searchsorted(common, grams[late], sorter=by)] + 1
-        grams = grams[np.argsort(rank, kind="stable")]
-    return grams[: n - int(np.ceil(_reach(least) * n)) + 1]
+def prefix_size(n: np.ndarray, least: float) -> np.ndarray:
+    """Of sets of n shingles, how many of the first, in any common order, suffice to share one with all that agree to ``least``."""
+    return n - np.ceil(_reach(least) * n).astype(np.int64) + 1
 
 
 def may_agree(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray, least: float) -> np.ndarray:
@@ -96,42 +88,139 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles of OFTEN or more of some SAMPLE documents, the most common last."""
-    total = docs.count()
+def text_hashes(text: pa.Array) -> np.ndarray:
+    """(n x 2): 128 bits of each whole text."""
+    from xxhash import xxh3_128_intdigest
 
-    def run(batches):
-        for b in batches:
-            for i, k, hashes, before in hash_words(b.column(0), word_bytes=SOLID):
-                for a, c in zip(before, before[1:]):
-                    yield shared.batch(_GRAM, np.frombuffer(sketch(hashes[a:c]), np.int64))
+    whole = [xxh3_128_intdigest((t or "").encode()) for t in text.to_pylist()]
+    return np.array([(w & (1 << 64) - 1, w >> 64) for w in whole], np.uint64).reshape(-1, 2)
 
-    some = _texts(docs).where(F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < int(SAMPLE / max(total, 1) * (1 << 20)) + 1)
-    counts = some.select("text").mapInArrow(shared.lean(run), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    rows = counts.orderBy(F.desc("n"), "gram").limit(COMMON).collect()
-    return np.array([r["gram"] for r in rows[::-1]], np.int64).view(np.uint64)
 
-
-def describe(docs: DataFrame, least: float) -> DataFrame:
-    """(uid, doc_id, h1, h2, size, prefix, print) of every row.
+def describe(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, h1, h2, size, print) of every row.
 
     h1 and h2 hash the whole text, size counts its shingles, print is the SimHash of them all.
     """
-    common = common_shingles(docs)
 
     def run(batches):
-        from xxhash import xxh3_128_intdigest
-
         for b in batches:
             uid, doc, text = b.columns
             for (i, k, hashes, before), (_, _, prints) in zip(hash_words(text, word_bytes=SOLID), simhash.block_prints(text, WORDS), strict=True):
-                grams = [np.frombuffer(sketch(hashes[a:c]), np.uint64) for a, c in zip(before, before[1:])]
-                whole = [xxh3_128_intdigest((t or "").encode()) for t in text[i:k].to_pylist()]
-                whole = np.array([(w & (1 << 64) - 1, w >> 64) for w in whole], np.uint64).reshape(-1, 2).view(np.int64)
-                first = [prefix(g, common, least).tobytes() for g in grams]
-                yield shared.batch(_ROWS, uid[i:k], doc[i:k], whole[:, 0].copy(), whole[:, 1].copy(), [len(g) for g in grams], first, prints.view(np.int64))
+                size = [len(sketch(hashes[a:c])) // 8 for a, c in zip(before, before[1:])]
+                whole = text_hashes(text[i:k]).view(np.int64)
+                yield shared.batch(_ROWS, uid[i:k], doc[i:k], whole[:, 0].copy(), whole[:, 1].copy(), size, prints.view(np.int64))
+
+    return _texts(docs).mapInArrow(shared.lean(run), "uid long, doc_id long, h1 long, h2 long, size int, print long")
+
+
+def _dealt(bucket: np.ndarray, *columns: np.ndarray):
+    """Blocks of rows of one bucket each."""
+    by = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[by], [c[by] for c in columns]
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    cuts = np.r_[first, len(bucket)].tolist()
+    blobs = [[c[i:k].tobytes() for i, k in zip(cuts, cuts[1:])] for c in columns]
+    if len(first):
+        yield shared.batch(_BLOCK, bucket[first].astype(np.int32), *blobs, *([None] * len(first) for _ in range(3 - len(columns))))
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _blocks(batches, kinds: tuple):
+    """The rows of each bucket, for blocks sorted by it: arrays of ``kinds``, one a column."""
+    held, now = [], None
+    for b in batches:
+        for bucket, *blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and bucket != now:
+                yield [np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held, strict=True), kinds)]
+                held = []
+            now = bucket
+            held.append([x or b"" for x in blobs])
+    if held:
+        yield [np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held, strict=True), kinds)]
+
 
-    return _texts(docs).mapInArrow(shared.lean(run), "uid long, doc_id long, h1 long, h2 long, size int, prefix binary, print long")
+def shared_shingles(docs: DataFrame) -> DataFrame:
+    """Blocks (bucket of the text, text: its h1, gram, held: by how many different texts) of all shingles of two texts or more."""
+    parts = shared.parallelism(docs.sparkSession)
+    buckets = parts * BUCKETS
+
+    def send(batches):
+        texts, grams, many, seen = [], [], 0, set()
+        for b in batches:
+            for i, k, hashes, before in hash_words(b.column(2), word_bytes=SOLID):
+                for t, a, c in zip(text_hashes(b.column(2)[i:k])[:, 0].tolist(), before, before[1:]):
+                    if t in seen:  # a copy: the same again
+                        continue
+                    seen.add(t)
+                    found = np.frombuffer(sketch(hashes[a:c]), np.uint64)
+                    texts.append(np.full(len(found), t, np.uint64))
+                    grams.append(found)
+                    many += len(found)
+                    if many >= SORT:
+                        gram = np.concatenate(grams)
+                        yield from _dealt(_bucket(gram, buckets), np.concatenate(texts), gram)
+                        texts, grams, many, seen = [], [], 0, set()
+        if many:
+            gram = np.concatenate(grams)
+            yield from _dealt(_bucket(gram, buckets), np.concatenate(texts), gram)
+
+    def count(batches):
+        out, many = [], 0
+        for text, gram in _blocks(batches, (np.uint64, np.uint64)):
+            by = np.lexsort((text, gram))
+            text, gram = text[by], gram[by]
+            new = np.r_[True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])]
+            text, gram = text[new], gram[new]
+            first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+            n = np.diff(np.r_[first, len(gram)])
+            held = np.repeat(n, n)
+            out.append([c[held > 1] for c in (text, gram, held)])
+            many += len(out[-1][0])
+            if many >= SORT:
+                text, gram, held = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield from _dealt(_bucket(text, buckets), text, gram, held)
+                out, many = [], 0
+        if many:
+            text, gram, held = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield from _dealt(_bucket(text, buckets), text, gram, held)
+
+    sent = _texts(docs).mapInArrow(shared.lean(send), _BLOCK_DDL).select("bucket", "text", "gram")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.lean(count), _BLOCK_DDL)
+
+
+def prefixes(classes: DataFrame, common: DataFrame, least: float) -> DataFrame:
+    """(key, id, size, place): what each class sends of its prefix; ``common``: blocks of ``shared_shingles``."""
+    parts = shared.parallelism(classes.sparkSession)
+    buckets = parts * BUCKETS
+
+    def send(batches):
+        for b in batches:
+            h1, ids, size = (c.to_numpy() for c in b.columns)
+            yield from _dealt(_bucket(h1.view(np.uint64), buckets), h1.view(np.uint64), ids, -1 - size.astype(np.int64))
+
+    def run(batches):
+        for text, gram, held in _blocks(batches, (np.uint64, np.uint64, np.int64)):
+            own = held < 0  # a class: text, id and -1 - size
+            by = np.argsort(text[own])
+            texts, ids, size = text[own][by], gram[own][by].view(np.int64), -1 - held[own][by]
+            text, gram, held = text[~own], gram[~own], held[~own]
+            at = np.searchsorted(texts, text)
+            by = np.lexsort((gram, held, at))
+            at, gram = at[by], gram[by]
+            many = np.bincount(at, minlength=len(texts))
+            alone = size - many
+            place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + alone[at]
+            some = place < prefix_size(size, least)[at]
+            at, gram, place = at[some], gram[some], place[some]
+            empty = np.flatnonzero(size == 0)  # texts without words meet at one key
+            yield shared.batch(_SENT, np.r_[gram.view(np.int64), np.zeros(len(empty), np.int64)], np.r_[ids[at], ids[empty]], np.r_[size[at], size[empty]].astype(np.int32), np.r_[place, 0 * empty].astype(np.int32))
+
+    own = classes.select("h1", "id", "size").mapInArrow(send, _BLOCK_DDL)
+    both = own.union(common).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return both.mapInArrow(shared.lean(run), "key long, id long, size int, place int")
 
 
 def fingerprint_pairs(classes: DataFrame) -> DataFrame:
@@ -160,18 +249,8 @@ def _whole_keys(batches):
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def meetings(classes: DataFrame) -> DataFrame:
-    """(key, id, size, place) of all that share a shingle of their prefixes; key is the shingle, place where it stands."""
-
-    def send(batches):
-        for b in batches:
-            ids, size = b.column(0).to_numpy(), b.column(1).to_numpy()
-            sent = [np.frombuffer(p, np.int64) for p in b.column(2).to_pylist()]
-            n = np.array([len(s) for s in sent], np.int64)
-            for i, k in shared.blocks(np.r_[0, np.cumsum(n)], MEET):
-                some = n[i:k]
-                place = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
-                yield shared.batch(_SENT, np.concatenate(sent[i:k]), np.repeat(ids[i:k], some), np.repeat(size[i:k], some), place.astype(np.int32))
+def meetings(sent: DataFrame) -> DataFrame:
+    """The rows (key, id, size, place) of ``sent`` whose key stands in another row too."""
 
     def meet(batches):
         for cols in _whole_keys(batches):
@@ -179,8 +258,7 @@ def meetings(classes: DataFrame) -> DataFrame:
             met = np.r_[False, same] | np.r_[same, False]
             yield shared.batch(_SENT, *(c[met] for c in cols))
 
-    sent = classes.select("id", "size", "prefix").mapInArrow(shared.lean(send), "key long, id long, size int, place int")
-    sent = sent.repartition(shared.parallelism(classes.sparkSession), "key").sortWithinPartitions("key")
+    sent = sent.repartition(shared.parallelism(sent.sparkSession), "key").sortWithinPartitions("key")
     return sent.mapInArrow(shared.lean(meet), "key long, id long, size int, place int")
 
 
@@ -231,23 +309,27 @@ def pairs_between(met: DataFrame, least: float, turn: int | None = None) -> Data
     return rows.mapInArrow(shared.lean(run), "a long, b long")
 
 
-def verified_pairs(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of rows of ``docs`` whose shingles agree to ``least``."""
+def shingle_lists(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, marks): the sorted shingle hashes of the rows of ``docs`` named in ``wanted`` (id)."""
 
     def marks(batches):
         for b in batches:
             for i, k, hashes, before in hash_words(b.column(1), word_bytes=SOLID):
                 yield shared.batch(_MARKS, b.column(0)[i:k], [sketch(hashes[a:c]) for a, c in zip(before, before[1:])])
 
+    texts = _texts(docs).join(wanted.select(F.col("id").alias("uid")), "uid", "left_semi").select("uid", "text")
+    return texts.mapInArrow(shared.lean(marks), "id long, marks binary")
+
+
+def verified_pairs(pairs: DataFrame, lists: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingles, in ``lists`` (id, marks), agree to ``least``."""
+
     def run(batches):
         for x in batches:
             a, b = x.column(2).to_pylist(), x.column(3).to_pylist()
             keep = pa.array([similarity(s, t) >= _reach(least) for s, t in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], schema=_PAIR).filter(keep)
 
-    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    texts = _texts(docs).join(wanted, "uid", "left_semi").select("uid", "text")
-    lists = shared.materialise(texts.mapInArrow(shared.lean(marks), "id long, marks binary"))
     of = lambda c: lists.select(F.col("id").alias(c), F.col("marks").alias(f"marks_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     return both.select("a", "b", "marks_a", "marks_b").mapInArrow(shared.lean(run), "a long, b long")
@@ -257,10 +339,17 @@ def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataF
     """``docs``, all columns, with one row of each group of near duplicates: the smallest doc_id's, the first in the scan."""
     spark = docs.sparkSession
     shared.ship(spark)
-    rows = shared.materialise(describe(docs, least))
-    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid")).alias("first"), *(F.first(c).alias(c) for c in ("size", "prefix", "print")))
-    classes = shared.materialise(classes.select(F.col("first.uid").alias("id"), "first", "size", "prefix", "print"))
+    rows = shared.materialise(describe(docs))
+    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.first("size").alias("size"), F.first("print").alias("print"))
+    classes = shared.materialise(classes.select("h1", F.col("first.uid").alias("id"), "first", "size", "print"))
     shared.remove(rows)
+    near = shared.materialise(fingerprint_pairs(classes))
+    common = shared.materialise(shared_shingles(docs))
+    shared.release(spark)
+    met = shared.materialise(meetings(prefixes(classes, common, least)))
+    shared.release(spark)
+    shared.remove(common)
+    lists = shared.materialise(shingle_lists(docs, near.select(F.col("a").alias("id")).union(near.select("b")).union(met.select("id")).distinct()))
     tried, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
 
     def verify(pairs: DataFrame) -> None:
@@ -270,12 +359,11 @@ def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataF
         if pairs.isEmpty():
             return
         tried = tried.union(pairs)
-        links = verified_pairs(pairs, docs, least)
+        links = verified_pairs(pairs, lists, least)
         label = shared.materialise(graph.components(links.union(label.select(F.col("node").alias("a"), F.col("root").alias("b")))))
         shared.release(spark)
 
-    verify(fingerprint_pairs(classes))
-    met = shared.materialise(meetings(classes))
+    verify(near)
     for turn in (*range(ROUNDS), None):
         rooted = met.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         verify(pairs_between(rooted, least, turn).distinct())

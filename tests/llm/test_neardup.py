@@ -157,13 +157,24 @@ def test_prefixes_of_similar_sets_meet():
         a = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
         for new in range(int(n * 0.25) + 1):
             b = np.unique(np.r_[a, rng.integers(1, 1 << 63, new, dtype=np.uint64)])
-            common = rng.permutation(a)[: n // 2]
-            x, y = neardup.prefix(a, common, 0.8), neardup.prefix(b, common, 0.8)
+            order = rng.permutation(np.union1d(a, b))
+            x, y = (np.array([g for g in order.tolist() if g in own])[: int(neardup.prefix_size(np.array(len(own)), 0.8))] for own in (set(a.tolist()), set(b.tolist())))
             both, i, k = np.intersect1d(x, y, return_indices=True)
             if neardup.similarity(a.tobytes(), b.tobytes()) >= 0.8:
                 assert len(both) and neardup.may_agree(len(a) + 0 * i, i, len(b) + 0 * k, k, 0.8).any()
 
 
+def test_shared_shingles_are_counted_by_text(spark):
+    texts = ["a b c d e f", "a b c d e g", "a b c d e f", "", None, "q r s t u v", "x b c d e f"]
+    frame = shared.materialise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    found = {}
+    for r in neardup.shared_shingles(frame).collect():
+        for t, g, n in zip(np.frombuffer(r["text"], np.uint64), np.frombuffer(r["gram"], np.uint64), np.frombuffer(r["held"], np.int64), strict=True):
+            found.setdefault(int(g), []).append((int(t), int(n)))
+    assert sorted(len(v) for v in found.values()) == [2, 2]  # "a b c d e" of two texts, "b c d e f" of two
+    assert all(n == 2 for v in found.values() for _, n in v)
+
+
 def test_whole_table_against_brute_force(spark):
     """Every pair of sf0.1 that shares a shingle, by counting: nothing else goes, and nothing similar stays."""
     docs = shared.table(spark, "/root/testdata/sf0.1", "documents")
