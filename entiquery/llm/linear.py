@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..sources.ship import ship
 from .features import BUCKETS, features
-from .shared import lean
+from .shared import lean, materialise
+
+#: Features of all rows of a sample together.
+FEATURES = 1 << 25
 
 _SAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.list_(pa.int32()))])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -41,18 +44,20 @@ class Model:
             yield i, k, 1 / (1 + np.exp(-np.clip(self.scale * total, -40, 40)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, size: int, kinds: tuple[int, ...], prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and 0/1 labels of at most ``size`` labelled rows: half of each label, by the hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, size: int, kinds: tuple[int, ...], prefixes: tuple[int, ...] = (), most: int = FEATURES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and 0/1 labels of at most ``size`` labelled rows with at most ``most`` features: half of each label, by the hash of doc_id.
 
-    ``size`` bounds what reaches the driver. The choice looks at labels only, so it is the same for any
-    partitioning. A label that is null counts as none; of repeated labels of a doc_id the larger holds.
+    Both bound what reaches the driver. The choice is the same for any partitioning: rows are chosen by labels, of rows that repeat a doc_id
+    the text of smallest hash; a row whose features would go beyond ``most`` is left out. A label that is null counts as none;
+    of repeated labels of a doc_id the larger holds.
     """
     ship(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows.where(training).groupBy("doc_id").agg(F.max("label").alias("label"))
     some = [rows.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size // 2) for v in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))  # at most ``size`` rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.xxhash64("text"), F.col("text").cast("string").alias("text")).alias("one")).join(chosen, "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min("one").alias("one")).select("doc_id", "one.text", "label")
 
     def run(batches):
         for b in batches:
@@ -60,16 +65,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
                 cuts = pa.array(np.searchsorted(row, np.arange(k - i + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:k], b.column(2)[i:k], pa.ListArray.from_arrays(cuts, pa.array(bucket, pa.int32()))], schema=_SAMPLE)
 
-    found = texts.mapInArrow(lean(run), "doc_id long, label int, buckets array<int>").toArrow().combine_chunks()
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    lists = found["buckets"].combine_chunks() if found.num_rows else None
-    if lists is None:
+    found = materialise(texts.mapInArrow(lean(run), "doc_id long, label int, buckets array<int>"))
+    sizes = np.array(found.select(F.xxhash64("doc_id"), "doc_id", F.size("buckets")).orderBy(F.xxhash64("doc_id"), "doc_id").collect(), np.int64).reshape(-1, 3)
+    fits = np.cumsum(sizes[:, 2]) <= most
+    if not fits.all():
+        found = found.where(F.col("doc_id").isin(sizes[fits, 1].tolist()))
+    table = found.toArrow().combine_chunks()
+    if not table.num_rows:
         return [], np.zeros(0, np.int64)
+    lists = table["buckets"].combine_chunks()
     flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-    y = found["label"].to_numpy()
-    # Rows that repeat a doc_id may come in any order: their features decide.
-    order = sorted(order.tolist(), key=lambda i: (int(found["doc_id"][i].as_py()), flat[cuts[i] : cuts[i + 1]].tobytes()))
-    return [flat[cuts[i] : cuts[i + 1]] for i in order], y[order].astype(np.int64)
+    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
+    return [flat[cuts[i] : cuts[i + 1]] for i in order], table["label"].to_numpy()[order].astype(np.int64)
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], extra: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:

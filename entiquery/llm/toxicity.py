@@ -1,22 +1,28 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-Voters look at a text and vote "toxic" or abstain: lexicons of fixed insults, patterns, and single stems
-that the labelled rows associate with toxicity (each learnt stem is a voter of its own). The label
-itself casts two more votes, "toxic" and "clean", whose accuracies are estimated like the others'.
+Voters look at a text and vote "toxic" or abstain. Lexicon voters: each word of the fixed lexicons. Pattern voters: words
+that begin with, or are, a certain stem, chosen for their association with the label in the labelled rows; an insult in a text
+that also addresses someone; insults out of two lexicons. Labels choose voters and the mixture of the sample, nothing else:
+no voter and no starting value sees the label of a row.
 
-The label model is generative: a hidden class, and for each voter a rate of voting in either class.
-Expectation-maximisation estimates the rates; after each round the correlations of the voters *within*
-the classes are estimated too, and a voter's evidence is divided by one plus its positive correlations with
-the others, so that a word and its own prefix do not count twice. Posteriors become soft labels of a
-ridge logistic regression on the words and prefixes that differ between the classes.
+The label model is generative. Of voters that vote alike (correlation of ALIKE or more) one counts. Voters linked by a
+correlation of LINKED or more depend on each other through a hidden cause of their own (one dialect of abuse, say), which is
+present in a text or not; a text is toxic if any cause is present. Given its cause, each voter has a rate of voting where it is
+present and one where it is absent. Expectation-maximisation estimates the rates, hence accuracies, and how frequent
+each cause is, from the votes alone, starting from texts with two votes of a group. A voter without any correlated
+one has no accuracy that votes alone could tell, and is left out.
+
+Posteriors become soft labels of a ridge logistic regression on the words and prefixes that go with them.
 
 The fit takes at most SAMPLE labelled rows (half of each label); every row of the table is scored.
-Defined results: a null text is scored like an empty one; without labelled rows all scores come from the
-fixed lexicons alone; repeated rows are scored alike; an empty table gives no rows.
+Defined results: a null text is scored like an empty one; without labelled rows, or where no voters are correlated, all scores
+come from the fixed lexicons alone; repeated rows are scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +32,11 @@ from .features import BUCKETS, WORD, features
 from .linear import Model, labelled_sample, logistic, remainder, score_documents
 from .shared import lean
 
-SAMPLE, STEMS, ROUNDS, PENALTY = 6000, 150, 25, 1e-4
+SAMPLE, STEMS, ROUNDS, PENALTY = 6000, 150, 60, 1e-4
 #: Log-likelihood ratios from which a stem is a voter and a feature is used by the classifier.
 STRONG, USED = 30.0, 12.0
+#: Correlations from which two voters count as one, and from which they share a cause; the fewest votes that make a voter.
+ALIKE, LINKED, FEWEST = 0.9, 0.2, 3
 KINDS, PREFIXES = (WORD,), (4, 5, 6)
 #: Lexicon voters.
 LEXICONS = {
@@ -37,7 +45,7 @@ LEXICONS = {
     "disgust": ["disgusting", "scum", "trash", "garbage", "vermin", "filth", "abschaum", "dreck", "basura", "escoria", "ordure", "racaille"],
     "mockery": ["clown", "clowns", "joke", "freak", "creep", "witzfigur", "payaso", "bouffon"],
 }
-#: Pattern voters, as words that stand next to any lexicon word or mark an address.
+#: Words of address.
 ADDRESS = ["you", "you're", "your", "du", "dich", "ihr", "tu", "vous", "usted", "eres"]
 _MARKS = ",.;:!?"
 
@@ -55,69 +63,137 @@ def _association(a: np.ndarray, c: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.where(a * n0 > c * n1, 2 * (part(a, n1, p) + part(c, n0, p)), 0.0)
 
 
-def voters(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(votes: rows x voters, features that lean to toxic)."""
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    counts = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for r, label in zip(rows, labels, strict=True):
-        counts[label][r] += 1
-    strength = _association(counts[1], counts[0], n1, n0)
-    stems = np.argsort(-strength, kind="stable")[:STEMS]
-    stems = stems[strength[stems] > STRONG]
-    sets = [lexicon_buckets(w) for w in LEXICONS.values()]
-    address = lexicon_buckets(ADDRESS)
-    votes = np.zeros((len(rows), len(sets) + 2 + len(stems)), bool)
-    place = np.full(BUCKETS, -1)
-    place[stems] = np.arange(len(stems))
+def _counts(rows: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """For each feature the weight of the rows that have it."""
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return np.bincount(flat, np.repeat(weight, [len(r) for r in rows]), BUCKETS)
+
+
+def _has(rows: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
+    """rows x sets: whether a row has a feature of a set."""
+    bucket = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    by = np.argsort(bucket, kind="stable")
+    bucket, of = bucket[by], of[by]
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[bucket] = True
+    out = np.zeros((len(rows), len(sets)), bool)
     for i, r in enumerate(rows):
-        for k, s in enumerate(sets):
-            votes[i, k] = np.isin(s, r).any()
-        votes[i, len(sets)] = votes[i, : len(sets)].any() and np.isin(address, r).any()  # an insult and an address
-        votes[i, len(sets) + 1] = votes[i, : len(sets)].sum() > 1  # insults of two kinds
-        own = place[r]
-        votes[i, len(sets) + 2 + own[own >= 0]] = True
-    return votes, np.flatnonzero(strength > USED)
+        r = r[wanted[r]]
+        for low, high in zip(np.searchsorted(bucket, r), np.searchsorted(bucket, r, "right"), strict=True):
+            out[i, of[low:high]] = True
+    return out
+
+
+def stems(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The features that make voters: the strongest in their association with the label."""
+    strength = _association(_counts(rows, labels * 1.0), _counts(rows, 1.0 - labels), labels.sum(), (1 - labels).sum())
+    best = np.argsort(-strength, kind="stable")[:STEMS]
+    return best[strength[best] > STRONG]
+
+
+def votes(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """rows x voters: lexicon words, ``chosen`` stems, an insult with an address, insults of two kinds."""
+    words = [lexicon_buckets([w]) for kind in LEXICONS.values() for w in kind]
+    kind = np.repeat(np.arange(len(LEXICONS)), [len(w) for w in LEXICONS.values()])
+    seen = _has(rows, [*words, lexicon_buckets(ADDRESS), *chosen[:, None]])
+    insult, address, stem = seen[:, : len(words)], seen[:, len(words)], seen[:, len(words) + 1 :]
+    kinds = np.stack([insult[:, kind == k].any(1) for k in range(len(LEXICONS))], 1)
+    return np.concatenate([insult, stem, (insult.any(1) & address)[:, None], (kinds.sum(1) > 1)[:, None]], 1)
+
+
+def _correlations(votes: np.ndarray) -> np.ndarray:
+    rest = votes - votes.mean(0)
+    sd = np.sqrt((rest**2).sum(0)) + 1e-12
+    return rest.T @ rest / sd[:, None] / sd
+
+
+@dataclass
+class LabelModel:
+    """``voters``: those that count. Of each: its group, its rates of voting without and with the group's cause, its accuracy
+    (how often its votes fall on toxic texts); of each group how frequent its cause is."""
+
+    voters: np.ndarray
+    group: np.ndarray
+    rates: np.ndarray
+    accuracy: np.ndarray
+    frequent: np.ndarray
+    correlations: np.ndarray
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """The probability that a row is toxic, from its votes."""
+        clean = np.ones(len(votes))
+        for g in range(len(self.frequent)):
+            mine = self.group == g
+            clean *= 1 - _cause(votes[:, self.voters[mine]].astype(float), self.rates[:, mine], self.frequent[g])
+        return 1 - clean
+
 
+def _cause(votes: np.ndarray, rates: np.ndarray, frequent: float) -> np.ndarray:
+    absent, present = rates
+    total = np.log(frequent / (1 - frequent)) + votes @ np.log(present / absent) + (1 - votes) @ np.log((1 - present) / (1 - absent))
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
-def label_model(votes: np.ndarray, start: np.ndarray, free: int = 0, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of each row, rates of voting: classes x voters, share of each voter's evidence that counts).
 
-    The first ``free`` voters are taken as independent of all others.
-    """
-    q = start.astype(float)
+def label_model(votes: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+    """Groups, rates, accuracies and frequencies from the votes (rows x voters) alone."""
     v = votes.astype(float)
-    share = np.ones(v.shape[1])
-    rates = np.full((2, v.shape[1]), 0.5)
-    for _ in range(rounds):
-        for k, weight in enumerate((1 - q, q)):
-            rates[k] = (weight @ v + 0.1) / (weight.sum() + 0.2)
-        mean = q[:, None] * rates[1] + (1 - q[:, None]) * rates[0]
-        rest = v - mean
-        cov = rest.T @ rest / max(len(v), 1)
-        sd = np.sqrt(np.diag(cov)) + 1e-9
-        corr = np.clip(cov / sd[:, None] / sd, 0, 1)
-        np.fill_diagonal(corr, 0)
-        corr[:free], corr[:, :free] = 0, 0
-        share = 1 / (1 + corr.sum(1))
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        total = np.log(prior / (1 - prior)) + v @ (share * np.log(rates[1] / rates[0])) + (1 - v) @ (share * np.log((1 - rates[1]) / (1 - rates[0])))
-        q = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-    return q, rates, share
+    some = np.flatnonzero(v.sum(0) >= FEWEST)
+    corr = _correlations(v[:, some])
+    kept: list[int] = []
+    for j in np.argsort(-v[:, some].sum(0), kind="stable").tolist():
+        if not kept or corr[j, kept].max() < ALIKE:
+            kept.append(j)
+    kept.sort()
+    voters, corr = some[kept], corr[np.ix_(kept, kept)]
+    group = np.arange(len(voters))
+    while True:  # each voter takes the smallest group that it is linked to
+        least = np.where(corr >= LINKED, group[None, :], len(voters)).min(1, initial=len(voters))
+        least = np.minimum(least, group)
+        if (least == group).all():
+            break
+        group = least
+    names, group, size = np.unique(group, return_inverse=True, return_counts=True)
+    linked = size[group] > 1
+    voters, corr = voters[linked], corr[np.ix_(linked, linked)]
+    _, group = np.unique(group[linked], return_inverse=True)
+    groups = int(group.max(initial=-1)) + 1
+    rates, frequent, causes = np.zeros((2, len(voters))), np.zeros(groups), []
+    for g in range(groups):
+        w = v[:, voters[group == g]]
+        q = np.where(w.sum(1) >= 2, 0.9, 0.05)
+        for _ in range(rounds):
+            here = np.stack([((1 - q) @ w + 0.05) / ((1 - q).sum() + 1), (q @ w + 0.2) / (q.sum() + 1)])
+            part = float(np.clip(q.mean(), 1e-4, 0.5))
+            before, q = q, _cause(w, here, part)
+            if np.abs(q - before).max(initial=0) < 1e-4:
+                break
+        rates[:, group == g], frequent[g] = here, part
+        causes.append(q)
+    model = LabelModel(voters, group, rates, np.zeros(len(voters)), frequent, corr)
+    q = model.posterior(votes)
+    model.accuracy = (q @ v[:, voters] + 0.5) / (v[:, voters].sum(0) + 1)
+    return model
+
+
+def _lexicon_model() -> Model:
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[lexicon_buckets([w for words in LEXICONS.values() for w in words])] = 4.0
+    return Model(weights, -2.0, 1.0, None, KINDS, PREFIXES)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    fixed = np.unique(np.concatenate([lexicon_buckets(w) for w in LEXICONS.values()]))
     if len(set(labels.tolist())) < 2:
-        weights = np.zeros(BUCKETS, np.float32)
-        weights[fixed] = 4.0
-        return Model(weights, -2.0, 1.0, None, KINDS, PREFIXES)
-    votes, used = voters(rows, labels)
-    gold = np.stack([labels == 1, labels == 0], 1)
-    posterior, _, _ = label_model(np.concatenate([gold, votes], 1), np.where(labels == 1, 0.95, 0.05), free=2)
-    mask = np.zeros(BUCKETS, bool)
-    mask[used] = mask[fixed] = True
+        return _lexicon_model()
+    cast = votes(rows, stems(rows, labels))
+    posterior = label_model(cast).posterior(cast)
+    if not 0 < (posterior > 0.5).mean() < 1:
+        return _lexicon_model()
+    toxic, clean = posterior.sum(), (1 - posterior).sum()
+    mask = _association(_counts(rows, posterior), _counts(rows, 1 - posterior), toxic, clean) > USED
+    mask[lexicon_buckets([w for words in LEXICONS.values() for w in words])] = True
     kept = [r[mask[r]] for r in rows]
-    weight = np.where(posterior > 0.5, 0.5 / max(posterior.mean(), 1e-6), 0.5 / max(1 - posterior.mean(), 1e-6))
+    weight = np.where(posterior > 0.5, 0.5 / toxic, 0.5 / clean) * len(rows)
     w, bias = logistic(kept, posterior, weight, PENALTY)
     return Model(w.astype(np.float32), float(bias), 1.0, None, KINDS, PREFIXES)
 

@@ -104,13 +104,70 @@ def test_features_do_not_depend_on_blocks(monkeypatch):
     assert seen[0] == seen[1] and seen[0][1] == seen[0][2] and seen[0][3] == seen[0][6]
 
 
-def test_label_model_recovers_accuracies_and_correlation():
-    y = RNG.random(5000) < 0.3
-    good, poor = np.where(y, RNG.random(5000) < 0.8, RNG.random(5000) < 0.05), np.where(y, RNG.random(5000) < 0.4, RNG.random(5000) < 0.2)
-    votes = np.stack([good, good, poor, np.where(y, RNG.random(5000) < 0.7, RNG.random(5000) < 0.1)], 1)
-    q, rates, share = toxicity.label_model(votes, np.where(votes[:, 0] | votes[:, 3], 0.8, 0.1))
-    assert rates[1][0] > rates[1][2] and rates[0][0] < rates[0][2]
-    assert share[0] < 0.6 and share[2] > 0.8  # a voter and its double share their say
-    odds = lambda v, a, b: np.where(v, np.log(a / b), np.log((1 - a) / (1 - b)))
-    best = (np.log(0.3 / 0.7) + odds(good, 0.8, 0.05) + odds(poor, 0.4, 0.2) + odds(votes[:, 3], 0.7, 0.1) > 0) == y
-    assert ((q > 0.5) == y).mean() > best.mean() - 0.03
+def two_causes(n=5000):
+    """Votes of three voters of one cause, three of another and one on its own; and which rows are toxic."""
+    cause = np.stack([RNG.random(n) < 0.2, RNG.random(n) < 0.1], 1)
+    rates = np.array([[0.8, 0.6, 0.7], [0.9, 0.5, 0.6]])
+    parts = [np.where(cause[:, g, None], RNG.random((n, 3)) < rates[g], RNG.random((n, 3)) < 0.02) for g in (0, 1)]
+    return np.concatenate([*parts, (RNG.random(n) < 0.1)[:, None]], 1), cause.any(1), rates
+
+
+def test_label_model_finds_causes_rates_and_accuracies():
+    votes, toxic, rates = two_causes()
+    model = toxicity.label_model(votes)
+    assert model.voters.tolist() == [0, 1, 2, 3, 4, 5] and model.group.tolist() == [0, 0, 0, 1, 1, 1]
+    assert np.abs(model.rates[1] - rates.reshape(-1)).max() < 0.06 and model.rates[0].max() < 0.05
+    assert np.abs(model.frequent - [0.2, 0.1]).max() < 0.03
+    assert np.abs(model.accuracy - [toxic[v].mean() for v in votes[:, :6].T]).max() < 0.06
+    odds = np.where(votes[:, :6], np.log(rates.reshape(-1) / 0.02), np.log((1 - rates.reshape(-1)) / 0.98)).reshape(-1, 2, 3).sum(2)
+    best = 1 - np.prod(1 / (1 + np.exp(odds + np.log([0.2 / 0.8, 0.1 / 0.9]))), axis=1)
+    assert ((model.posterior(votes) > 0.5) == toxic).mean() > ((best > 0.5) == toxic).mean() - 0.01
+    assert model.correlations[0, 1] > 0.3 > abs(model.correlations[0, 4])
+
+
+def test_posteriors_follow_the_voters():
+    votes, _, _ = two_causes()
+    before = toxicity.label_model(votes).posterior(votes)
+    changed = votes.copy()
+    changed[:, 3] = RNG.random(len(votes)) < votes[:, 3].mean()  # a voter that now votes at random
+    model = toxicity.label_model(changed)
+    assert 3 not in model.voters
+    assert np.abs(model.posterior(changed) - before).max() > 0.5
+    doubled = toxicity.label_model(np.concatenate([votes, votes[:, :1]], 1))  # a voter and its double count once
+    assert np.abs(doubled.posterior(np.concatenate([votes, votes[:, :1]], 1)) - before).max() < 1e-9
+
+
+def test_no_correlated_voters():
+    votes = RNG.random((300, 4)) < 0.2
+    model = toxicity.label_model(votes)
+    assert not len(model.voters) and not model.posterior(votes).any()
+    assert not toxicity.label_model(np.zeros((5, 3), bool)).posterior(np.zeros((5, 3), bool)).any()
+
+
+def test_the_label_model_does_not_see_labels(spark):
+    """Held-out recall and precision by posteriors of votes alone; and no posterior is simply the label of its row."""
+    docs, labels = (shared.table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
+    rows, y = linear.labelled_sample(docs, labels, "toxic", linear.remainder("doc_id", 5) != 0, 6000, toxicity.KINDS, toxicity.PREFIXES)
+    votes = toxicity.votes(rows, toxicity.stems(rows, y))
+    posterior = toxicity.label_model(votes).posterior(votes)
+    assert 0.96 < ((posterior > 0.5) == y).mean() < 1  # the table has wrong labels: toxic ones without any insult
+    wrong = y.copy()
+    wrong[:: 97] = 1 - wrong[:: 97]  # the choice of voters survives some wrong labels; posteriors hardly move with them
+    again = toxicity.votes(rows, toxicity.stems(rows, wrong))
+    flipped = toxicity.label_model(again).posterior(again)
+    assert ((flipped[:: 97] > 0.5) == (posterior[:: 97] > 0.5)).mean() > 0.95
+    truth = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null").collect()}
+    held = [r for r in toxicity.toxicity_scores(docs, labels).where("held_out").collect() if r["doc_id"] in truth]
+    hit = sum(r["predicted"] and truth[r["doc_id"]] for r in held)
+    # Measured: recall 0.918, precision 0.86; the same classifier on the labels themselves, without a label model: 0.928 and 0.79.
+    assert hit > 0.9 * sum(truth[r["doc_id"]] for r in held) and hit > 0.83 * sum(r["predicted"] for r in held)
+
+
+def test_a_sample_is_bounded_after_the_join(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(2, "b c"), (3, " ".join(f"w{i}" for i in range(4000)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    sample = lambda d, most: linear.labelled_sample(d, labels, "toxic", linear.remainder("doc_id", 5) >= 0, 100, (features.WORD,), most=most)
+    rows, y = sample(docs, 1 << 20)
+    assert y.tolist() == [1, 0, 0] and [len(r) < 3 for r in rows] == [True, True, False]
+    assert all(np.array_equal(a, b) for a, b in zip(rows, sample(docs.repartition(5), 1 << 20)[0], strict=True))
+    assert sum(len(r) for r in sample(docs, 100)[0]) <= 100
