@@ -2,12 +2,14 @@
 
 All rolling word pairs of all texts are joined (in Spark, by 64-bit hash) with the positions of the same
 pairs in the templates. A hit at word ``p`` of a text and ``q`` of a template votes for the diagonal p - q.
-Votes are counted for each (text, template, diagonal). A phrase stands where its diagonal has the votes of
-all its pairs. For notices, diagonals at most GAP words apart (words left out or put in) are merged, and
-a notice stands where its merged votes cover at least COVER of its pairs.
+Votes are aggregated for each (text, template, diagonal). A phrase stands where its diagonal has the votes of
+all its pairs. For notices, neighbouring diagonals are merged: words left out or put in move the rest to another one. All
+diagonals that lie within SPREAD of each other stand together in one of two overlapping ranges. A place is verified by the
+words of its span: the longest chain of hits whose words go on in both the text and the template, where each pair of the
+template counts once, has to cover at least COVER of its pairs.
 
-Templates are this module's fixed text, so the side that is broadcast has a fixed size. Spans are verified
-by a second, independent 64-bit hash of every pair that voted.
+Templates are this module's fixed text, so the side that is broadcast has a fixed size. A hit needs a second, independent
+64-bit hash of its pair. Hits of one place are at most 2 * SPREAD times the template's pairs, however often a text repeats them.
 
 Words are maximal runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters. Defined results: a null
 or empty text has no words, empty labels and score 0; repeated rows and null ids are kept as they are;
@@ -16,11 +18,12 @@ an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -48,10 +51,11 @@ NOTICES = {
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved. No part of this publication may be reproduced or transmitted in any form",
 }
-GAP, COVER, K = 3, 0.6, 2
+SPREAD, COVER, K = 8, 0.6, 2
 #: Pairs in one row of the exploded side.
 ROW = 1 << 15
 _GRAMS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("at", pa.int64()), ("h", pa.list_(pa.int64())), ("g", pa.list_(pa.int64()))])
+_SPAN = pa.schema([("uid", pa.int64()), ("label", pa.string()), ("phrase", pa.bool_()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("cover", pa.float64())])
 
 
 def template_words(text: str) -> list[str]:
@@ -84,6 +88,35 @@ def _grams(batches):
             yield shared.batch(_GRAMS, uid.take(take), doc.take(take), n[row], first - before[row], *lists)
 
 
+def longest_chain(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of (p, q) pairs a longest run in which both grow."""
+    tops: list[int] = []  # the smallest last q of a chain of each length
+    ends: list[int] = []  # where it stands in ``order``
+    order = sorted(set(hits), key=lambda h: (h[0], -h[1]))
+    back = []
+    for i, (_, q) in enumerate(order):
+        at = bisect.bisect_left(tops, q)
+        back.append(ends[at - 1] if at else -1)
+        tops[at : at + 1], ends[at : at + 1] = [q], [i]
+    chain, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        chain.append(order[i])
+        i = back[i]
+    return chain[::-1]
+
+
+def _verified(batches):
+    """Spans of the places whose chain covers enough of the template."""
+    for b in batches:
+        rows = []
+        for uid, label, size, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            chain = longest_chain([(h["p"], h["q"]) for h in hits])
+            if len(chain) >= COVER * size - 1e-9:
+                rows.append((uid, label, False, chain[0][0], chain[-1][0] + K - chain[0][0], len(chain) / size))
+        if rows:
+            yield shared.batch(_SPAN, *zip(*rows, strict=True))
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts has (uid, doc_id, n_words); spans has (uid, label, phrase, first_word, n_words, cover) of each place found."""
     spark = docs.sparkSession
@@ -95,20 +128,20 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     pairs = rows.select("uid", "doc_id", "n_words", "at", "g", F.posexplode_outer("h").alias("i", "h"))
     hits = pairs.join(F.broadcast(grams.select("h", "tg", "template", "q")), "h", "left")
     sure = F.col("template").isNotNull() & (F.element_at("g", F.col("i") + 1) == F.col("tg"))
-    hits = hits.select("uid", "doc_id", "n_words", F.when(sure, F.col("template")).alias("template"), F.when(sure, F.col("at") + F.col("i") - F.col("q")).alias("diagonal"), F.when(sure, F.col("q")).alias("q"))
-    votes = hits.groupBy("uid", "template", "diagonal").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.count("q").alias("votes"), F.min("q").alias("low"), F.max("q").alias("high"))
-    votes = shared.materialise(votes)
+    one_each = (F.col("at") == 0) & (F.coalesce("i", F.lit(0)) == 0)  # texts without hits keep a row
+    hits = hits.where(F.coalesce(sure, F.lit(False)) | one_each)
+    hits = shared.materialise(hits.select("uid", "doc_id", "n_words", F.when(sure, F.col("template")).alias("template"), F.when(sure, F.col("at") + F.col("i")).alias("p"), F.when(sure, F.col("q")).alias("q")))
+    texts = hits.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
     about = F.broadcast(grams.select("template", "label", "phrase", "size").distinct())
-    known = votes.where("template is not null").join(about, "template")
-    places = known.where("phrase and votes = size").select("uid", "label", "phrase", F.col("diagonal").alias("first_word"), (F.col("size") + K - 1).alias("n_words"), F.lit(1.0).alias("cover"))
-    line = Window.partitionBy("uid", "template").orderBy("diagonal")
-    merged = known.where("not phrase and votes > 1").withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(line) > GAP).cast("int"))
-    merged = merged.withColumn("group", F.sum(F.coalesce("new", F.lit(0))).over(line)).groupBy("uid", "template", "group", "label", "phrase", "size")
-    merged = merged.agg(F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("first_word"), F.max(F.col("diagonal") + F.col("high") + K).alias("end"))
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("size"))
-    merged = merged.select("uid", "label", "phrase", "first_word", (F.col("end") - F.col("first_word")).alias("n_words"), cover.alias("cover")).where(F.col("cover") >= COVER)
-    texts = votes.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
-    return texts, places.unionByName(merged)
+    known = hits.where("template is not null").withColumn("diagonal", F.col("p") - F.col("q")).join(about, "template")
+    whole = known.where("phrase").groupBy("uid", "template", "diagonal", "label", "phrase", "size").agg(F.count("q").alias("votes")).where("votes = size")
+    places = whole.select("uid", "label", "phrase", F.col("diagonal").alias("first_word"), (F.col("size") + K - 1).cast("long").alias("n_words"), F.lit(1.0).alias("cover"))
+    part = F.floor(F.col("diagonal") / SPREAD)
+    near = known.where("not phrase").withColumn("part", F.explode(F.array(part, part + 1)))
+    near = near.groupBy("uid", "template", "part", "label", "size").agg(F.collect_set(F.struct("p", "q")).alias("hits"))
+    near = near.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["q"]))) >= COVER * F.col("size") - 1e-9)
+    found = near.select("uid", "label", "size", "hits").mapInArrow(_verified, "uid long, label string, phrase boolean, first_word long, n_words long, cover double")
+    return texts, places.unionByName(found.dropDuplicates(["uid", "label", "first_word", "n_words"]))
 
 
 def license_labels(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 
 from entiquery.llm import licenses, shared, words
@@ -54,3 +56,54 @@ def test_word_hashes(monkeypatch):
         for w, h in zip(flat, [h for g in got for h in g], strict=True):
             assert seen.setdefault(w, h) == h
         assert len(set(seen.values())) == len(seen)
+
+
+def brute_labels(text):
+    """Every template against every run of neighbouring diagonals, by the longest chain in quadratic time."""
+    w = licenses.template_words(text or "")
+    labels = {label for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+    score = 1.0 if labels else 0.0
+    for label, notice in licenses.NOTICES.items():
+        t = licenses.template_words(notice)
+        hits = [(p, q) for p in range(len(w) - 1) for q in range(len(t) - 1) if w[p : p + 2] == t[q : q + 2]]
+        for part in {(p - q) // licenses.SPREAD + x for p, q in hits for x in (0, 1)}:
+            some = sorted(h for h in hits if (h[0] - h[1]) // licenses.SPREAD in (part - 1, part))
+            best = [1] * len(some)
+            for i, (p, q) in enumerate(some):
+                best[i] = 1 + max((best[k] for k in range(i) if some[k][0] < p and some[k][1] < q), default=0)
+            cover = max(best) / (len(t) - 1)
+            if cover >= licenses.COVER - 1e-9:
+                labels.add(label)
+                score = max(score, cover)
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["free of charge " * 12, " ".join(licenses.template_words(licenses.NOTICES["mit"])[::-1]), "permission is hereby granted " * 9]
+    for i in range(150):
+        w = licenses.template_words(rng.choice([*licenses.NOTICES.values()]))
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(3)] = rng.choice([[], ["other"], ["some", "more"], w[at : at + 1] * 2, ["x"] * 9])
+        more = licenses.template_words(rng.choice([*licenses.NOTICES.values()]))[: rng.randrange(30)]
+        texts.append(" ".join(["the"] * rng.randrange(4) + (more + w if i % 3 else w + w)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_labels(frame).collect()}
+    for i, t in enumerate(texts):
+        labels, score = brute_labels(t)
+        assert got[i][0] == labels and abs(got[i][1] - score) < 1e-9, (i, t)
+    assert got[0] == ("", 0.0) and got[1] == ("", 0.0)
+    assert sum(1 for labels, _ in got.values() if labels) > 60
+
+
+def test_longest_chain():
+    rng = random.Random(5)
+    for _ in range(200):
+        hits = [(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(14))]
+        chain = licenses.longest_chain(hits)
+        some, best = sorted(set(hits)), []
+        for i, (p, q) in enumerate(some):
+            best.append(1 + max((best[k] for k in range(i) if some[k][0] < p and some[k][1] < q), default=0))
+        assert set(chain) <= set(hits) and len(chain) == max(best, default=0)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(chain, chain[1:]))
