@@ -53,24 +53,56 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("crowd,chunk,batch", [(2000, 1 << 20, 1 << 24), (2, 1 << 20, 4000), (2000, 1500, 3000), (3, 700, 1 << 24)])
-def test_equals_brute_force(spark, monkeypatch, crowd, chunk, batch):
-    monkeypatch.setattr(substrings, "CROWD", crowd)
-    monkeypatch.setattr(shared, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(substrings, "REDUCE", batch)
-    monkeypatch.setattr(substrings, "SORT", batch)
+L = substrings.Limits
+
+
+@pytest.mark.parametrize(
+    "limits",
+    [L(), L(crowd=2, sort=4000), L(hot=1, crowd=1), L(hot=3, crowd=2000, reduce=3000, chunk=1500), L(crowd=3, chunk=700, held=5), L(hot=2, crowd=2, held=3, reduce=9000, sort=500)],
+)
+def test_equals_brute_force(spark, limits):
     docs = corpus()
     frame = shared.materialise(spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, start int, uid string").coalesce(1))
-    got = [tuple(r) for r in substrings.digests(frame).collect()]
+    got = [tuple(r) for r in substrings.digests(frame, limits).collect()]
     assert sorted(got, key=str) == sorted(brute(docs), key=str)
     assert sum(r[2] > 0 for r in got) > 30
 
 
+def test_parts_of_sorted_rows():
+    import pyarrow as pa
+
+    keys = np.sort(RNG.choice([1, 2, 3, 4, 5, 6], 4000, p=[0.02, 0.5, 0.1, 0.3, 0.05, 0.03]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 37]), pa.array(np.arange(i, min(i + 37, 4000)))], names=["k", "v"]) for i in range(0, 4000, 37)]
+    parts = list(substrings._by_key(batches, 300))
+    assert np.concatenate([c[1] for c, _ in parts]).tolist() == list(range(4000))
+    assert max(len(c[0]) for c, _ in parts) < 800
+    where = {}
+    for i, (c, long) in enumerate(parts):
+        for k in set(c[0].tolist()):
+            where.setdefault(k, []).append((i, long))
+    for places in where.values():  # a value in several parts is named with each of them
+        assert len(places) == 1 or all(long is not None for _, long in places)
+    assert all(long is None or long in c[0] for c, long in parts)
+
+
+def test_one_anchor_with_very_many_contexts(spark):
+    """100,000 lines around one common string, few of which share more with another; no task gathers them."""
+    anchor = "the most common string of them all"
+    mine = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    texts = [f"{mine(i)}{mine(-i - 1)} {anchor} {mine(i + 10**6)}{mine(-i - 10**6)}" for i in range(100_000)]
+    for i in range(0, 1000, 10):  # the same from 20 bytes before the string on
+        texts[i + 5] = "x" * 50 + texts[i][108:]
+    frame = shared.materialise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8))
+    rows = {r["doc_id"]: r["n_removed"] for r in substrings.digests(frame, L(held=5000)).where("n_removed > 0").collect()}
+    assert rows == {i + 5: len(texts[i]) - 108 for i in range(0, 1000, 10)}
+
+
 def test_text_column(spark):
     docs = [(1, "é" * 60), (2, "a" + "é" * 60 + "b"), (3, None), (4, "short")]
-    frame = shared.materialise(spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, source string").coalesce(1))
+    frame = shared.materialise(spark.createDataFrame([(*d, "k", d[0], 2) for d in docs], "doc_id long, text string, source string, __uid long, __spans int").coalesce(1))
     kept = substrings.without_repeats(frame)
     assert kept.columns == frame.columns
+    assert all(r["__uid"] == r["doc_id"] and r["__spans"] == 2 for r in kept.collect())
     assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: brute_left(docs, 0), 2: brute_left(docs, 1), 3: None, 4: "short"}
     assert substrings.digests(frame.limit(0)).count() == 0
 
