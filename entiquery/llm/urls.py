@@ -9,8 +9,10 @@ along the *reversed* edges (who links to the blocked shares the blame). Seeds ar
 allow or block rule decides, by their numbers, and blocked hosts with a label of SPAM. A host is
 blocked if its distrust exceeds RATIO times its trust; each page follows its longest rule, else its host.
 
-Every round is a partial aggregate and a join that Spark can split where one host has very many links;
-rounds end in tables in the shared scratch folder.
+Rounds go on until no host's score moves by more than a share of SETTLED, MOST rounds at the most: so far does blame
+travel. Scores are compared as they are, by their ratio (a difference of 1e-9 counts as none), so that a verdict does not
+depend on how many hosts share the seeds' weight. Both directions are one table of edges: a round is one join, which Spark can split
+where one host has very many links, and one partial aggregate; every TOGETHER rounds end in a table in the shared scratch folder.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and the verdict
 "allow"; null html has no links; repeated pages count again; an empty table gives no rows; further columns
@@ -20,13 +22,16 @@ are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
-DAMPING, ROUNDS, TOGETHER, RATIO, PARENT_WEIGHT = 0.85, 12, 3, 1.0, 0.5
+DAMPING, SETTLED, MOST, TOGETHER, RATIO, PARENT_WEIGHT = 0.85, 0.01, 120, 4, 1.0, 0.5
+#: Two sums of the same numbers in another order may differ by this share.
+SAME = 1e-9
 #: Parts of host labels that mark a blocked seed.
 SPAM = ["casino", "bets", "pills", "viagra", "porn", "xxx", "payday", "warez"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,32 +83,48 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> dst").union(up).union(down).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def _shares(edges: DataFrame, start: str, end: str) -> DataFrame:
+def _shares(edges: DataFrame, start: str, end: str, kind: int) -> DataFrame:
     total = edges.groupBy(start).agg(F.sum("w").alias("total"))
-    return edges.join(total, start).select(F.col(start).alias("from"), F.col(end).alias("to"), (F.col("w") / F.col("total")).alias("share"))
+    return edges.join(total, start).select(F.lit(kind).alias("kind"), F.col(start).alias("from"), F.col(end).alias("to"), (F.col("w") / F.col("total")).alias("share"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) of every host of ``edges`` (src, dst, w) or ``seeds`` (host, good, bad: weights).
+def propagate(edges: DataFrame, seeds: DataFrame, settled: float = SETTLED, most: int = MOST) -> DataFrame:
+    """(host, trust, distrust) of every host that a seed reaches, for ``edges`` (src, dst, w) and ``seeds`` (host, good, bad: weights).
 
     x' = (1 - d) * seed + d * sum(share * x) in each direction; seeds are brought to sum 1.
     """
     edges = shared.materialise(edges)
-    forward, backward = shared.materialise(_shares(edges, "src", "dst")), shared.materialise(_shares(edges, "dst", "src"))
+    shares = shared.materialise(_shares(edges, "src", "dst", 0).union(_shares(edges, "dst", "src", 1)))  # 0: trust, 1: distrust
     sums = seeds.agg(F.sum("good"), F.sum("bad")).first()
-    part = lambda c, total: F.col(c) / F.lit(float(total)) if total else F.lit(0.0)
-    base = seeds.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select("host", part("good", sums[0]).alias("good"), part("bad", sums[1]).alias("bad"))
-    known = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).distinct()
-    base = shared.materialise(known.join(base, "host", "full").select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")))
-    now = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for r in range(rounds):
-        ahead = forward.join(now, forward["from"] == now["host"]).select(F.col("to").alias("host"), (F.col("share") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
-        back = backward.join(now, backward["from"] == now["host"]).select(F.col("to").alias("host"), F.lit(0.0).alias("t"), (F.col("share") * F.col("distrust")).alias("d"))
-        got = ahead.union(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        now = base.join(got, "host", "left").select("host", (F.col("good") * (1 - DAMPING) + F.coalesce("t", F.lit(0.0)) * DAMPING).alias("trust"), (F.col("bad") * (1 - DAMPING) + F.coalesce("d", F.lit(0.0)) * DAMPING).alias("distrust"))
-        if r % TOGETHER == TOGETHER - 1 or r == rounds - 1:
-            now = shared.materialise(now)
-    return now
+    parts = [seeds.where(F.col(c) > 0).select("host", F.lit(k).alias("kind"), (F.col(c) / F.lit(float(total))).alias("x")) for k, (c, total) in enumerate(zip(("good", "bad"), sums)) if total]
+    if not parts:
+        return seeds.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
+    base = shared.materialise(reduce(DataFrame.union, parts).groupBy("host", "kind").agg(F.sum("x").alias("x")))
+    always = base.select("host", "kind", (F.col("x") * (1 - DAMPING)).alias("x"))
+    now = base
+    for _ in range(0, most, TOGETHER):
+        after = now
+        for _ in range(TOGETHER):
+            known = after.withColumnsRenamed({"host": "at", "kind": "of"})
+            moved = shares.join(known, (F.col("from") == F.col("at")) & (F.col("kind") == F.col("of")))
+            moved = moved.select(F.col("to").alias("host"), "kind", (F.col("share") * F.col("x") * DAMPING).alias("x"))
+            after = always.union(moved).groupBy("host", "kind").agg(F.sum("x").alias("x"))
+        after = shared.materialise(after)
+        before = now.withColumnRenamed("x", "before")
+        change = after.join(before, ["host", "kind"], "left").agg(F.max(F.abs(1 - F.coalesce("before", F.lit(0.0)) / F.col("x")))).first()[0]
+        if now is not base:
+            shared.remove(now)
+        now = after
+        if change is None or change <= settled:
+            break
+    score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("x")).otherwise(0.0))
+    return now.groupBy("host").agg(score(0).alias("trust"), score(1).alias("distrust"))
+
+
+def _digits(x: Column) -> Column:
+    """Nine significant digits, for display."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(x)))
+    return F.when(x > 0, F.round(x / unit, 8) * unit).otherwise(F.lit(0.0))
 
 
 def judge(pages: DataFrame, rules: list[Rule], ratio: float = RATIO) -> DataFrame:
@@ -116,7 +137,6 @@ def judge(pages: DataFrame, rules: list[Rule], ratio: float = RATIO) -> DataFram
     count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
     seeds = judged.where("host <> ''").groupBy("host").agg(count(F.col("action") == "allow").alias("good"), count((F.col("action") == "block") | (F.col("action").isNull() & spam)).alias("bad"))
     score = propagate(host_edges(rows.select("host", "html")), shared.materialise(seeds))
-    score = score.select("host", F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
     out = judged.join(score, "host", "left")
-    verdict = F.when(F.col("action").isNotNull(), F.col("action")).when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    verdict = F.when(F.col("action").isNotNull(), F.col("action")).when(F.col("distrust") > ratio * (1 + SAME) * F.col("trust"), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), _digits(F.col("trust")).alias("trust"), _digits(F.col("distrust")).alias("distrust"))
