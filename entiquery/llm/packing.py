@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 from .tokens import BLOCK, encoder
@@ -173,20 +174,24 @@ def split_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, cap
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to ``pieces`` (any columns, with a ``length`` from 1 to ``capacity``)."""
+    """Adds sequence_id and offset to ``pieces`` (any columns, with a ``length`` from 1 to ``capacity``); own columns of these names are replaced.
+
+    ``pieces`` must be a table that reads the same way each time: pieces are told apart by their place in the scan.
+    """
     spark = pieces.sparkSession
     salts = 4 * shared.parallelism(spark)
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    groups = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
-    histogram = {int(r["length"]): int(r["n"]) for r in groups.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most ``capacity`` rows
+    pieces = pieces.drop("sequence_id", "offset")
+    kept = pieces.columns
+    uid, salt, n, number = (shared.fresh(pieces, c) for c in ("uid", "salt", "n", "number"))
+    salted = pieces.withColumn(uid, F.monotonically_increasing_id()).withColumn(salt, F.pmod(F.xxhash64(uid), F.lit(salts)).cast("int"))
+    groups = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    histogram = {int(r["length"]): int(r["n"]) for r in groups.groupBy("length").agg(F.sum(n).alias("n")).collect()}  # at most ``capacity`` rows
     at = places(pack_lengths(histogram, capacity))
-    ahead = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("length", "__salt", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
-    in_group = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")
-    numbered = salted.withColumn("__number", F.row_number().over(in_group) - 1).join(groups, ["length", "__salt"])
-    numbered = numbered.withColumn("__number", F.col("__number") + F.col("__ahead"))
-    kept = [c for c in pieces.columns]
-    numbered = numbered.select("__number", *kept)
+    ahead = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("length", salt, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(n))
+    in_group = Window.partitionBy("length", salt).orderBy(uid)
+    numbered = salted.withColumn(number, F.row_number().over(in_group) - 1).join(groups, ["length", salt])
+    numbered = numbered.select((F.col(number) + F.col(n)).alias(number), *kept)
 
     def place(batches):
         for b in batches:
@@ -199,4 +204,5 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
                 seq[mine], off[mine] = sequence[i] + number[mine] - first[i], offset[i]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(seq), pa.array(off)], names=[*kept, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return numbered.mapInArrow(place, schema)

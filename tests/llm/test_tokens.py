@@ -86,6 +86,20 @@ def test_packing(spark):
     assert check_packing(rows, 2048) == -(-sum(r[3] for r in expected) // 2048)
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
     assert packing.pack(pieces.limit(0), 2048).count() == 0
+    again = packing.pack(pieces, 2048)  # the table of the caller is left as it was
+    assert again.columns == [*pieces.columns, "sequence_id", "offset"] and pieces.columns == pieces.schema.names
+    assert check_packing(again.collect(), 2048) == check_packing(rows, 2048)
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["__uid", "__salt", "__n", "__number", "__ahead", "offset"]
+    lengths = [5, 3, 2, 2, 7, 5, 1, 3]
+    pieces = shared.materialise(spark.createDataFrame([(None, 0, n, *range(i, i + len(names))) for i, n in enumerate(lengths)], "doc_id long, piece int, length long, " + ", ".join(f"{c} int" for c in names)))
+    packed = packing.pack(pieces, 10)
+    assert sorted(packed.columns) == sorted({*pieces.columns, "sequence_id"})
+    rows = packed.collect()
+    assert sorted((r["length"], r["__uid"], r["__ahead"]) for r in rows) == sorted((n, i, i + 4) for i, n in enumerate(lengths))
+    assert check_packing(rows, 10) == 3
 
 
 def optimum(sizes, capacity):
