@@ -10,16 +10,17 @@ below 2e-6. Minima of small blocks are made once and combined for the larger cla
 Every candidate is verified against the whole document: the share of the item's distinct shingles
 (five words; fewer if the item is shorter) that stand in it, by their words.
 
-Items go to the tasks with the scan, in passes of at most PASS shingles; more items mean more passes, none is
+Items go to the workers with the scan, each of which builds their index once, in passes of at most PASS shingles; more items mean more passes, none is
 left out. Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters.
 
 Defined results: a null text is empty and contains nothing; an item without words is contained nowhere; equal
 items are one, under their smallest id; null ids of items are left out, of documents kept; repeated
-documents are judged each; empty tables give no rows or no finds; further columns are ignored.
+documents are judged each; empty tables give no rows or no finds; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -135,17 +136,30 @@ def _passes(benchmark: DataFrame) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
-    """All columns of ``docs`` and __n_items, __containment (largest), __item_ids."""
+_built: dict[str, Index] = {}
+
+
+def _index(key: str, items: list[tuple[int, str]], threshold: float) -> Index:
+    """The index of a pass; each worker builds it once, whatever the number of its tasks, and keeps the last one."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Index(items, threshold)
+    return _built[key]
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> tuple[DataFrame, tuple[str, str, str]]:
+    """All columns of ``docs`` and three more, with their names, which ``docs`` does not have: the number of items, the largest containment, the items' ids."""
     spark = docs.sparkSession
     shared.ship(spark)
-    out = docs.withColumns({"__n_items": F.lit(0), "__containment": F.lit(0.0), "__item_ids": F.array().cast("array<long>")})
+    names = tuple(shared.fresh(docs, c) for c in ("n_items", "containment", "item_ids"))
+    out = docs.withColumns(dict(zip(names, (F.lit(0), F.lit(0.0), F.array().cast("array<long>")), strict=True)))
     text = docs.columns.index("text")
     for some in _passes(benchmark):
         index = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some.collect()])  # a pass: at most about PASS shingles
+        key = uuid.uuid4().hex
 
-        def run(batches, index=index):
-            here = Index(index.value, threshold)
+        def run(batches, index=index, key=key):
+            here = _index(key, index.value, threshold)
             for b in batches:
                 n, most, ids = (b.column(b.num_columns - 3 + c).to_pylist() for c in range(3))
                 for row, items in here.search(b.column(text).cast(pa.string())):
@@ -155,19 +169,20 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAIN
                 yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n, pa.int32()), pa.array(most, pa.float64()), pa.array(ids, pa.list_(pa.int64()))], names=b.schema.names)
 
         out = out.mapInArrow(shared.lean(run), out.schema)
-    return out
+    return out, names
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """One row a document: doc_id, n_items, containment (largest, 0 if none), item_ids (comma-joined)."""
-    rows = find_items(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, threshold)
-    ids = F.array_join(F.transform("__item_ids", lambda x: x.cast("string")), ",")
-    return rows.select("doc_id", F.col("__n_items").cast("long").alias("n_items"), F.col("__containment").alias("containment"), ids.alias("item_ids"))
+    rows, (n, most, ids) = find_items(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, threshold)
+    joined = F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    return rows.select("doc_id", F.col(n).cast("long").alias("n_items"), F.col(most).alias("containment"), joined.alias("item_ids"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item."""
-    return find_items(docs, benchmark, threshold).where("__n_items = 0").select(*docs.columns)
+    rows, (n, _, _) = find_items(docs, benchmark, threshold)
+    return rows.where(F.col(n) == 0).select(*docs.columns)
 
 
 #: The same by exact shingles alone, for items of five words or more.

@@ -55,8 +55,10 @@ def test_equals_brute_force(spark, monkeypatch, size):
     got = sorted((tuple(r) for r in dc.contaminated(frame, bench).collect()), key=str)
     assert got == brute(docs, items)
     assert sum(r[1] > 0 for r in got) > 15
-    kept = dc.without_contaminated(frame, bench)
-    assert kept.columns == frame.columns and kept.count() == sum(r[1] == 0 for r in got)
+    named = frame.selectExpr("*", "doc_id AS __n_items", "7 AS __containment", "text AS __item_ids")
+    kept = dc.without_contaminated(named, bench)
+    assert kept.columns == named.columns and kept.count() == sum(r[1] == 0 for r in got)
+    assert all(r["__n_items"] == r["doc_id"] and r["__containment"] == 7 and r["__item_ids"] == r["text"] for r in kept.collect())
 
 
 def test_empty_tables(spark):
@@ -65,3 +67,10 @@ def test_empty_tables(spark):
     assert dc.contaminated(frame.limit(0), bench).count() == 0
     assert [tuple(r) for r in dc.contaminated(frame, bench.limit(0)).collect()] == [(1, 0, 0.0, "")]
     assert [tuple(r) for r in dc.contaminated(shared.materialise(frame), bench).collect()] == [(1, 1, 1.0, "1")]
+
+
+def test_a_worker_builds_an_index_once(monkeypatch):
+    built = []
+    monkeypatch.setattr(dc, "Index", lambda items, threshold: built.append(items) or items)
+    assert dc._index("k", [1], 0.8) is dc._index("k", [1], 0.8) and dc._index("other", [2], 0.8) == [2]
+    assert built == [[1], [2]] and len(dc._built) == 1
