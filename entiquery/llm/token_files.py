@@ -17,10 +17,13 @@ doc_id. A block, all integers little-endian:
     1 byte    b"\\n"
 
 Files are written by Spark's own text writer (the bytes of a block are a line), so its committer
-keeps them whole when tasks or executors fail, on any file system that Spark writes to.
+keeps them whole when tasks or executors fail, on any file system that Spark writes to. This rests on the writer
+passing the bytes of a string column on as they are, which the round-trip tests hold it to. A file has at most
+FILE_BLOCKS blocks, a partition about PART_IDS ids, and a block ends with the document that fills it, so that both sides hold
+one file at the most, of some 64 MB (more only where single documents have millions of ids).
 
 Defined results: a null text is empty and has only the end id; a null doc_id comes first; rows that
-repeat a doc_id stay separate documents, in no fixed order among themselves; an empty table gives no
+repeat a doc_id stay separate documents, in the order of the scan, and may stand in several files; an empty table gives no
 blocks; further columns are ignored.
 """
 
@@ -40,7 +43,7 @@ from .tokens import BLOCK, encoder, vocabulary_size
 MAGIC = b"VCB1"
 #: Lengths of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
-BLOCK_IDS = 1 << 18
+BLOCK_IDS, FILE_BLOCKS, PART_IDS = 1 << 18, 96, 1 << 24
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 _COUNTS = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 _LINE = pa.schema([("line", pa.binary())])
@@ -156,8 +159,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         if doc_ids:
             yield shared.batch(_LINE, [write_block(doc_ids, ranks)])
 
-    dealt = tokens.repartitionByRange(shared.parallelism(spark), "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(shared.lean(files), "line binary").select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/ids")
+    parts = max(shared.parallelism(spark), -(-int(counts["n"].sum()) // PART_IDS))
+    dealt = tokens.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "uid").sortWithinPartitions("doc_id", "uid")  # uid parts a common doc_id
+    lines = dealt.select("doc_id", "ids").mapInArrow(shared.lean(files), "line binary").select(F.col("line").cast("string").alias("value"))
+    lines.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_BLOCKS).text(f"{folder}/ids")
     shared.remove(tokens)
 
 
@@ -181,8 +186,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _with_starts(rows: DataFrame) -> DataFrame:
-    """Files hold disjoint ranges of doc_id, so their smallest doc_id orders them; one small row a file."""
-    files = rows.groupBy("file").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null"), F.sum("n_tokens").alias("total"))
-    order = Window.orderBy(F.col("null").desc(), "first", "file").rowsBetween(Window.unboundedPreceding, -1)
+    """Files hold ranges of doc_id that meet in one doc_id at most, so their smallest and largest order them, and names those of the same one; one small row a file."""
+    files = rows.groupBy("file").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("null"), F.sum("n_tokens").alias("total"))
+    order = Window.orderBy(F.col("null").desc(), F.col("first").asc_nulls_first(), F.col("last").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("ahead"))
     return rows.join(files, "file").select("doc_id", (F.col("ahead") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

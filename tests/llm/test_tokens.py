@@ -135,3 +135,19 @@ def test_reduction_loses_nothing(sizes):
     patterns = packing.pack_lengths(counts, 20)
     assert sorted(s for p, n in patterns for s in p * n) == sorted(sizes)
     assert all(sum(p) <= 20 for p, _ in patterns)
+
+
+def test_many_small_files_and_a_common_id(spark, monkeypatch):
+    for name, value in (("BLOCK_IDS", 20), ("FILE_BLOCKS", 2), ("PART_IDS", 400)):
+        monkeypatch.setattr(token_files, name, value)
+    docs = [(7 if i % 3 else i, f"text number {i}") for i in range(300)] + [(None, f"null {i}") for i in range(60)]
+    folder = shared.scratch_dir(spark)
+    token_files.write_token_files(frame(spark, docs).repartition(5), P, folder, end_id=2)
+    files = spark.read.format("binaryFile").load(f"{folder}/ids").select("length", "content").collect()
+    assert len(files) > 40 and max(r["content"].count(token_files.MAGIC) for r in files) <= 2
+    got = sorted((tuple(r) for r in token_files.read_token_files(spark, folder).collect()), key=lambda r: r[1])
+    ids = [r[0] for r in got]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+    crc = lambda t: zlib.crc32(np.array([*plain_ids(t), 2], "<u4").tobytes())
+    assert sorted((str(r[0]), r[3]) for r in got) == sorted((str(d), crc(t)) for d, t in docs)
