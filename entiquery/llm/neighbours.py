@@ -16,7 +16,7 @@ double precision on the original vectors, and the best of all shards are the res
 in an index.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do null
-ids; only vectors of the query's dimension are candidates; rows that share the query's vec_id are its own; with
+ids; only vectors of the query's dimension are candidates; rows that share the query's vec_id are its own, and the smallest of their vectors (number by number) asks; with
 fewer candidates all are returned; empty tables give no rows; further columns are ignored.
 """
 
@@ -216,4 +216,5 @@ def nearest(table: DataFrame, every: int, k: int, shard_rows: int = SHARD_ROWS,
     """The k nearest rows of each row whose vec_id is divisible by ``every``, itself left out."""
     vectors = valid_vectors(table)
     indexes = build_indexes(vectors, k + 1, shard_rows)
-    return search(vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), indexes, k, beam)
+    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("one"))
+    return search(asked.select("vec_id", "one.dim", "one.v"), indexes, k, beam)

@@ -64,3 +64,11 @@ def test_a_crowd_of_nearly_equal_vectors_traps_no_search():
     near, _ = graph.search(np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), neighbours.BEAM)
     best = np.argsort(-(q @ x.T), axis=1)[:, :20]
     assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(near, best)]) > 0.93
+
+
+def test_the_smallest_of_repeated_vectors_asks(spark):
+    rows = [(20, [0.0, 1.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [5.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        got = result(neighbours.nearest(frame, 20, 2))
+        assert {q: [(i, pytest.approx(s)) for _, i, s in v] for q, v in got.items()} == {20: [(2, 1.0), (1, 0.1)]}
