@@ -17,7 +17,7 @@ Two texts are alike if the Jaccard similarity of their five-word shingles is ``l
    order. In the end every other pair that meets and is in different groups yet is verified too, and groups are final.
 3. Of each group the smallest doc_id stays.
 
-Shingles travel in blocks by hash: 16 bytes each to be counted, and only those of two texts or more come back. A task holds one
+Shingles travel in blocks by hash: 14 bytes each to be counted, and only those of two texts or more come back. A task holds one
 of BUCKETS blocks a partition, or the classes that meet at one shingle (28 bytes each). Nothing is collected.
 
 Defined results: a null text is empty; texts without words are alike; texts of fewer than five words have one
@@ -129,17 +129,29 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _blocks(batches, kinds: tuple):
-    """The rows of each bucket, for blocks sorted by it: arrays of ``kinds``, one a column."""
+    """The rows of each bucket, for blocks sorted by it: the bucket and arrays of ``kinds``, one a column."""
     held, now = [], None
     for b in batches:
         for bucket, *blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if held and bucket != now:
-                yield [np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held, strict=True), kinds)]
+                yield now, *(np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held, strict=True), kinds))
                 held = []
             now = bucket
             held.append([x or b"" for x in blobs])
     if held:
-        yield [np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held, strict=True), kinds)]
+        yield now, *(np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held, strict=True), kinds))
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The lower 48 bits, 6 bytes each: what a bucket does not tell of a hash."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _long(bucket: int, short: np.ndarray) -> np.ndarray:
+    """A hash again, equal for equal ones: the lower bits, and the bucket above them."""
+    whole = np.zeros((len(short) // 6, 8), np.uint8)
+    whole[:, :6] = short.reshape(-1, 6)
+    return whole.view(np.uint64).reshape(-1) | np.uint64(bucket << 48 & (1 << 64) - 1)
 
 
 def shared_shingles(docs: DataFrame) -> DataFrame:
@@ -161,15 +173,16 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
                     many += len(found)
                     if many >= SORT:
                         gram = np.concatenate(grams)
-                        yield from _dealt(_bucket(gram, buckets), np.concatenate(texts), gram)
+                        yield from _dealt(_bucket(gram, buckets), np.concatenate(texts), _short(gram))
                         texts, grams, many, seen = [], [], 0, set()
         if many:
             gram = np.concatenate(grams)
-            yield from _dealt(_bucket(gram, buckets), np.concatenate(texts), gram)
+            yield from _dealt(_bucket(gram, buckets), np.concatenate(texts), _short(gram))
 
     def count(batches):
         out, many = [], 0
-        for text, gram in _blocks(batches, (np.uint64, np.uint64)):
+        for bucket, text, gram in _blocks(batches, (np.uint64, np.uint8)):
+            gram = _long(bucket, gram)
             by = np.lexsort((text, gram))
             text, gram = text[by], gram[by]
             new = np.r_[True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])]
@@ -202,7 +215,7 @@ def prefixes(classes: DataFrame, common: DataFrame, least: float) -> DataFrame:
             yield from _dealt(_bucket(h1.view(np.uint64), buckets), h1.view(np.uint64), ids, -1 - size.astype(np.int64))
 
     def run(batches):
-        for text, gram, held in _blocks(batches, (np.uint64, np.uint64, np.int64)):
+        for _, text, gram, held in _blocks(batches, (np.uint64, np.uint64, np.int64)):
             own = held < 0  # a class: text, id and -1 - size
             by = np.argsort(text[own])
             texts, ids, size = text[own][by], gram[own][by].view(np.int64), -1 - held[own][by]
@@ -344,6 +357,7 @@ def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataF
     classes = shared.materialise(classes.select("h1", F.col("first.uid").alias("id"), "first", "size", "print"))
     shared.remove(rows)
     near = shared.materialise(fingerprint_pairs(classes))
+    shared.release(spark)
     common = shared.materialise(shared_shingles(docs))
     shared.release(spark)
     met = shared.materialise(meetings(prefixes(classes, common, least)))
@@ -359,8 +373,9 @@ def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataF
         if pairs.isEmpty():
             return
         tried = tried.union(pairs)
-        links = verified_pairs(pairs, lists, least)
-        label = shared.materialise(graph.components(links.union(label.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        links = shared.materialise(verified_pairs(pairs, lists, least))
+        if not links.isEmpty():
+            label = shared.materialise(graph.components(links.union(label.select(F.col("node").alias("a"), F.col("root").alias("b")))))
         shared.release(spark)
 
     verify(near)
