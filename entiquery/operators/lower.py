@@ -73,12 +73,21 @@ def _filtered(rows: DataFrame, ids: DataFrame, has: bool, on_column: bool) -> Da
 
 def results(system: System, ctx: FrameContext, columns: tuple[L.Column, ...], id: Column | None = None) -> dict[str, Column]:
     """New struct columns of the written components, by component name."""
+    return changes(system, ctx, columns, id)[0]
+
+
+def changes(system: System, ctx: FrameContext, columns: tuple[L.Column, ...], id: Column | None = None) -> tuple[dict[str, Column], dict[str, Column]]:
+    """New struct columns of the written components, and what ``enabled`` is to be after the frame where a system says so, by component name."""
     own = {name_of(c.type): c for c in columns if c.kind in ("component", "global")}
     made = system.run(ctx, F.col("id") if id is None else id, *proxies(columns)) or {}
     unknown = {name_of(k) for k in made} - {name_of(k) for k in system.writes}
     if unknown:
         raise PlanError(f"{type(system).__name__} changes {sorted(unknown)} but does not declare it")
-    return {name_of(k): new_value(own[name_of(k)].type, F.col(own[name_of(k)].name), v) for k, v in made.items()}
+    values = {name_of(k): new_value(own[name_of(k)].type, F.col(own[name_of(k)].name), {f: c for f, c in v.items() if f != "enabled"}) for k, v in made.items()}
+    switches = {name_of(k): F.coalesce(v["enabled"] if isinstance(v["enabled"], Column) else F.lit(v["enabled"]), F.lit(True)) for k, v in made.items() if "enabled" in v}
+    if wrong := sorted(n for n in switches if own[n].kind != "component"):
+        raise PlanError(f"{type(system).__name__} enables or disables globals: {wrong}")
+    return values, switches
 
 
 def run_batches(rows: DataFrame, system: BatchSystem, ctx: FrameContext, columns: tuple[L.Column, ...], keep: list[str]) -> DataFrame:

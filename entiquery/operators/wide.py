@@ -1,7 +1,7 @@
 """The wide entity frame: one row an entity, a struct column for each component, flags for tags, heads of references.
 
-Built once a frame: a spine of all ids, to which every table is joined by id; the spine's partitioning stays, so each
-table moves once. Then a join on the entity is a test for null, a filter a predicate, an update a projection, and
+Built once a frame, by one aggregation: the union of all tables, each with its own columns, grouped by id. So each table is read and
+moved once. Then a join on the entity is a test for null, a filter a predicate, an update a projection, and
 statements without an expand add no exchange at all: Catalyst fuses them. Following a reference is one join.
 """
 
@@ -11,22 +11,31 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..context import FrameContext
 from ..plans import logical as L
 from ..query import BatchSystem, EntityMatch, Statement
-from ..sources.tables import materialise, materialise_and_measure
+from ..sources.tables import materialise, materialise_and_measure, scratch_path
 from ..types import Component, Global, name_of
 from ..world import World
 from .levels import levels
-from .lower import proxies, results, run_batches
+from .lower import changes, proxies, results, run_batches
 
 #: Statements after which the frame is written out, so that plans stay small.
 MATERIALISE_EVERY = 6
 
 
+#: Levels of a cascade that one job goes down.
+LEVELS = 6
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _flag(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(False))
+    return F.coalesce(_quoted(name), F.lit(False))
 
 
 class WideFrame:
@@ -45,14 +54,18 @@ class WideFrame:
 
     def _build(self) -> DataFrame:
         rows = lambda k: self.world.ensure(k).where("enabled")
-        parts = [rows(k).select("id", F.struct(*k.schema().names).alias(n)) for n, k in self.kinds.items()]
+        inside = lambda n, k: {f: f"{n}__{f}" for f in k.schema().names}
+        parts = [rows(k).select("id", F.lit(True).alias(f"in__{n}"), *(F.col(f).alias(c) for f, c in inside(n, k).items())) for n, k in self.kinds.items()]
         parts += [rows(k).select("id", F.lit(True).alias(f"has__{n}")) for n, k in self.present.items()]
         parts += [self.world.tag(t).select("id", F.lit(True).alias(f"tag__{t}")) for t in self.tags]
         parts += [self.world.ref_rows(r).select(F.col("tail").alias("id"), F.col("head").alias(f"ref__{r}")) for r in self.refs]
-        if len(parts) == 1:
-            return parts[0]
-        spine = reduce(DataFrame.union, (p.select("id") for p in parts)).distinct()
-        return reduce(lambda df, p: df.join(p, "id", "left"), parts, spine)
+        wide = parts[0]
+        if len(parts) > 1:
+            wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+            wide = wide.groupBy("id").agg(*(F.first(_quoted(c), ignorenulls=True).alias(c) for c in wide.columns if c != "id"))  # at most one row a table
+        structs = [F.when(_quoted(f"in__{n}"), F.struct(*(_quoted(c).alias(f) for f, c in inside(n, k).items()))).alias(n) for n, k in self.kinds.items()]
+        others = [c for c in wide.columns if c.startswith(("has__", "tag__", "ref__")) and not any(c in inside(n, k).values() for n, k in self.kinds.items())]
+        return wide.select("id", *structs, *(_quoted(c) for c in others))
 
     def _has(self, kind: type[Component]) -> Column:
         return F.col(name_of(kind)).isNotNull() if name_of(kind) in self.kinds else _flag(f"has__{name_of(kind)}")
@@ -84,6 +97,9 @@ class WideFrame:
         if L.global_only(stmt):
             self._apply_globals(stmt, columns, bound)
             return
+        if not isinstance(stmt.system, BatchSystem):
+            new = {f"on__{n}": F.lit(True) for n in changes(stmt.system, self.ctx, columns)[1]}
+            self.df = self.df.withColumns({n: v for n, v in new.items() if n not in self.df.columns})
         if L.cascades(stmt):
             self._cascade(stmt, columns, bound)
         else:
@@ -113,7 +129,7 @@ class WideFrame:
             cond = cond & p(*proxies(base))
         if (m := stmt.expansion) is None:
             return rows, cond
-        ref = F.col(f"ref__{m.ref}")
+        ref = _quoted(f"ref__{m.ref}")
         cond = cond & ref.isNotNull()
         if m.components or m.tags or m.not_tags or m.has or m.has_not:
             found = heads.select(F.col("id").alias("__head"), self._selected(m).alias("__ok"), *(F.col(name_of(c)).alias(f"{m.ref}__{name_of(c)}") for c in m.components))
@@ -135,22 +151,35 @@ class WideFrame:
             names = [c for c in changed.columns if c.startswith("new__")]
             both = rows.select(*keep).join(changed, "id", "left")
             return both.withColumns({n[5:]: F.when(F.col("__changed"), F.col(n)).otherwise(F.col(n[5:])) for n in names}).select(*keep)
-        new = results(stmt.system, self.ctx, columns)
-        return rows.withColumns({n: F.when(cond, v).otherwise(F.col(n)) for n, v in new.items()}).select(*keep)
+        new, on = changes(stmt.system, self.ctx, columns)
+        new |= {f"on__{n}": v for n, v in on.items()}
+        return rows.withColumns({n: F.when(cond, v).otherwise(F.col(n)) for n, v in new.items()}).select(*map(_quoted, keep))
 
     def _cascade(self, stmt: Statement, columns: tuple[L.Column, ...], bound: dict[str, Column]) -> None:
-        """Level by level: rows of a level see the level before as it now is. Each level is written out once."""
+        """Level by level: rows of a level see the level before as it now is. A job goes down LEVELS levels and writes them.
+
+        Within a job each level's exchange is made once: the next level and what is written share it.
+        """
         keep = self.df.columns
         level = levels(self.world.ref_rows(stmt.expansion.ref))
         rows = self.df.join(level.select(F.col("tail").alias("id"), F.col("level").alias("__level")), "id", "left").withColumn("__level", F.coalesce("__level", F.lit(0)))
         rows, top = materialise_and_measure(rows, F.max("__level"), "__level")
-        now = rows.where("__level = 0").select(*keep)  # roots, and all that never changes here
-        done = [now]
-        for k in range(1, (top or 0) + 1):
-            joined, cond = self._matched(rows.where(F.col("__level") == k).select(*keep), now, stmt, columns, bound)
-            now = materialise(self._updated(joined, cond, stmt, columns, keep))
-            done.append(now)
-        self.df = reduce(DataFrame.union, done)
+        at = lambda table, k: table.where(F.col("__level") == k).select(*map(_quoted, keep))
+        now = at(rows, 0)  # roots, and all that never changes here
+        below = scratch_path(self.world.spark)
+        schema = rows.schema
+        for first in range(1, (top or 0) + 1, LEVELS):
+            done = []
+            for k in range(first, min(first + LEVELS, top + 1)):
+                joined, cond = self._matched(at(rows, k), now, stmt, columns, bound)
+                now = self._updated(joined, cond, stmt, columns, keep)
+                done.append(now.withColumn("__level", F.lit(k).cast(schema["__level"].dataType)))
+            folder = f"{below}/first={first}"
+            reduce(DataFrame.union, done).write.option("compression", "zstd").partitionBy("__level").parquet(folder)
+            now = at(self.world.spark.read.schema(schema).parquet(folder), k)
+        if top:
+            done = self.world.spark.read.schema(T.StructType([*schema.fields, T.StructField("first", T.LongType())])).parquet(below)
+            self.df = at(rows, 0).union(done.select(*map(_quoted, keep)))
 
     def commit(self, world: World, settle: bool = False) -> World:
         """A new version of ``world`` with the written components; ``settle`` writes the frame out first."""
@@ -159,7 +188,7 @@ class WideFrame:
             self.df = materialise(self.df)
         for name in sorted(self.written):
             kind = self.kinds[name]
-            rows = self.df.where(F.col(name).isNotNull()).select("id", *(F.col(name).getField(f).alias(f) for f in kind.schema().names), F.lit(True).alias("enabled"))
+            rows = self.df.where(F.col(name).isNotNull()).select("id", *(F.col(name).getField(f).alias(f) for f in kind.schema().names), (F.col(f"on__{name}") if f"on__{name}" in self.df.columns else F.lit(True)).alias("enabled"))
             out.replace_table(kind, rows.unionByName(world.table(kind).where("not enabled")))
         for name in sorted(self.written_globals):
             out.set_global_rows(name, self.globals[name])
@@ -167,8 +196,6 @@ class WideFrame:
 
 
 def _literal(value, kind) -> Column:
-    from pyspark.sql import types as T
-
     if isinstance(kind, T.StructType) and value is not None:
         return F.struct(*(_literal(value[f.name], f.dataType).alias(f.name) for f in kind))
     return F.lit(value).cast(kind)

@@ -15,7 +15,8 @@ class System:
     """User logic for each matched row.
 
     ``writes`` names the components that ``run`` changes; all others are read. ``run(ctx, id, *components)`` gets
-    attribute access to columns and returns {component: {field: column}}.
+    attribute access to columns and returns {component: {field: column}}. The field ``enabled`` asks for a component to be
+    enabled or disabled; that takes effect when the frame ends.
     """
 
     writes: tuple[type[Component], ...] = ()
