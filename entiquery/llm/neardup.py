@@ -18,7 +18,7 @@ Two texts are alike if the Jaccard similarity of their five-word shingles is ``l
 3. Of each group the smallest doc_id stays.
 
 Shingles travel in blocks by hash: 14 bytes each to be counted, and only those of two texts or more come back. A task holds one
-of BUCKETS blocks a partition, or the classes that meet at one shingle (28 bytes each). Nothing is collected.
+block of about HELD shingles, or the classes that meet at one shingle (28 bytes each). Nothing is collected.
 
 Defined results: a null text is empty; texts without words are alike; texts of fewer than five words have one
 shingle, the whole; a null doc_id comes before all others; an empty table gives no rows; further columns are kept,
@@ -37,8 +37,8 @@ from .features import SOLID
 from .words import gram_hashes, hash_words
 
 WORDS, SIMILARITY = 5, 0.8
-#: Blocks of shingles a shuffle partition has; shingles that a task sorts into them at once.
-BUCKETS, SORT = 64, 1 << 20
+#: Shingles that a block holds on average, and that a task sorts into blocks at once.
+HELD, SORT = 1 << 20, 1 << 20
 #: Rounds in which neighbours are paired before all pairs are.
 ROUNDS = 2
 #: Rows that met, and pairs, that are worked through together.
@@ -154,10 +154,9 @@ def _long(bucket: int, short: np.ndarray) -> np.ndarray:
     return whole.view(np.uint64).reshape(-1) | np.uint64(bucket << 48 & (1 << 64) - 1)
 
 
-def shared_shingles(docs: DataFrame) -> DataFrame:
+def shared_shingles(docs: DataFrame, buckets: int) -> DataFrame:
     """Blocks (bucket of the text, text: its h1, gram, held: by how many different texts) of all shingles of two texts or more."""
     parts = shared.parallelism(docs.sparkSession)
-    buckets = parts * BUCKETS
 
     def send(batches):
         texts, grams, many, seen = [], [], 0, set()
@@ -204,10 +203,9 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
     return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(shared.lean(count), _BLOCK_DDL)
 
 
-def prefixes(classes: DataFrame, common: DataFrame, least: float) -> DataFrame:
+def prefixes(classes: DataFrame, common: DataFrame, buckets: int, least: float) -> DataFrame:
     """(key, id, size, place): what each class sends of its prefix; ``common``: blocks of ``shared_shingles``."""
     parts = shared.parallelism(classes.sparkSession)
-    buckets = parts * BUCKETS
 
     def send(batches):
         for b in batches:
@@ -358,9 +356,11 @@ def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataF
     shared.remove(rows)
     near = shared.materialise(fingerprint_pairs(classes))
     shared.release(spark)
-    common = shared.materialise(shared_shingles(docs))
+    shingles = classes.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    buckets = max(shared.parallelism(spark), -(-shingles // HELD))
+    common = shared.materialise(shared_shingles(docs, buckets))
     shared.release(spark)
-    met = shared.materialise(meetings(prefixes(classes, common, least)))
+    met = shared.materialise(meetings(prefixes(classes, common, buckets, least)))
     shared.release(spark)
     shared.remove(common)
     lists = shared.materialise(shingle_lists(docs, near.select(F.col("a").alias("id")).union(near.select("b")).union(met.select("id")).distinct()))

@@ -168,7 +168,7 @@ def test_shared_shingles_are_counted_by_text(spark):
     texts = ["a b c d e f", "a b c d e g", "a b c d e f", "", None, "q r s t u v", "x b c d e f"]
     frame = shared.materialise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
     found = {}
-    for r in neardup.shared_shingles(frame).collect():
+    for r in neardup.shared_shingles(frame, 5).collect():
         for t, g, n in zip(np.frombuffer(r["text"], np.uint64), np.frombuffer(r["gram"], np.uint64), np.frombuffer(r["held"], np.int64), strict=True):
             found.setdefault(int(g), []).append((int(t), int(n)))
     assert sorted(len(v) for v in found.values()) == [2, 2]  # "a b c d e" of two texts, "b c d e f" of two
