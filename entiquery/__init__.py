@@ -1,7 +1,7 @@
 """Entity-component analytics on Spark DataFrames."""
 
 from .context import FrameContext
-from .entity import Entity
+from .entity import Entity, TableView
 from .program import Program, matched, updates
 from .query import BatchSystem, Statement, System, match
 from .types import (
@@ -11,5 +11,5 @@ from .world import World
 
 __all__ = [
     "BatchSystem", "Bool", "Char", "Component", "Double", "Entity", "EntityId", "Float", "FrameContext", "Global", "Int16", "Int32", "Int64", "Int8", "Program", "Statement", "String", "Struct",
-    "System", "UInt16", "UInt32", "UInt64", "UInt8", "Union", "World", "anonymous", "describe", "match", "matched", "updates",
+    "System", "TableView", "UInt16", "UInt32", "UInt64", "UInt8", "Union", "World", "anonymous", "describe", "match", "matched", "updates",
 ]

@@ -1,9 +1,12 @@
-"""A handle on one entity: sugar over the bulk operations of a world."""
+"""Handles on one entity and on one table: sugar over the bulk operations of a world."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
 from .types import Component
 from .world import World
 
@@ -66,3 +69,51 @@ class Entity:
 
     def destroy(self, purge: bool = False) -> None:
         self.world.clear_entity([self.id], purge)
+
+
+@dataclass(frozen=True)
+class TableView:
+    """The table of one component type."""
+
+    world: World
+    kind: type[Component]
+
+    def rows(self) -> DataFrame:
+        """Enabled rows."""
+        return self.world.rows(self.kind)
+
+    def size(self) -> int:
+        """All rows, disabled ones too."""
+        return self.world.size(self.kind)
+
+    def get(self, id: int) -> dict | None:
+        return self.world.get(self.kind, id)
+
+    def put(self, rows: DataFrame | dict[int, Component]) -> TableView:
+        self.world.put(self.kind, rows)
+        return self
+
+    def remove(self, ids) -> TableView:
+        self.world.remove(self.kind, ids)
+        return self
+
+    def enable(self, ids) -> TableView:
+        self.world.enable(self.kind, ids)
+        return self
+
+    def disable(self, ids) -> TableView:
+        self.world.disable(self.kind, ids)
+        return self
+
+    def clear(self) -> TableView:
+        self.world.clear_table(self.kind)
+        return self
+
+    def block(self, block: int) -> DataFrame:
+        """(block, slot, id, fields) of one block of 256 ids."""
+        return self.world.block_rows(self.kind, block)
+
+    def blocks(self) -> Iterator[DataFrame]:
+        """The blocks that have enabled rows, one after the other: for a host that goes through a small table."""
+        for r in self.world.blocks(self.kind).orderBy("block").toLocalIterator():
+            yield self.block(r["block"])

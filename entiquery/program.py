@@ -41,6 +41,20 @@ class Program:
     def post_tasks(self) -> list[Task]:
         return self._post
 
+    def roots(self, post: bool = False) -> list[Task]:
+        """The tasks that wait for no other."""
+        return [t for t in (self._post if post else self._frame) if not t.parents]
+
+    def ready(self, done: set[int], post: bool = False) -> list[Task]:
+        """The tasks not in ``done`` (indexes) whose parents all are: what a host may run next."""
+        return [t for t in (self._post if post else self._frame) if t.index not in done and set(t.parents) <= done]
+
+    def run_task(self, world: World, task: Task, dt: float = 0.0, user_data: Any = None, settle: bool = False) -> World:
+        """One task alone, for a host that drives the graph itself. All tasks in an order of the graph make a frame."""
+        if not any(t is task for t in (*self._frame, *self._post)):
+            raise PlanError(f"task {task.index} is of another program")
+        return self._run([task], world, dt, user_data, settle)
+
     def bind(self, world: World) -> World:
         """Make the tables, tags and references that the program names, where they are missing."""
         for m in (m for s in self.statements for m in s.matches):

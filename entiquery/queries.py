@@ -11,8 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import Component, Double, Global, Int32, Program, String, System, World, match, matched, updates
+from . import BatchSystem, Component, Double, Entity, Global, Int32, Program, String, System, TableView, World, match, matched, updates
+from .errors import PlanError
 from .sources import parquet as src
+from .sources.tables import scratch_path
+from .streaming.driver import FrameStream, upsert
+from .world import owner
 
 
 class Account(Component):
@@ -507,3 +511,240 @@ def q41_snapshot(spark, d):
     world.commit(draft)
     assert before.state is not world.state
     return table(world)
+
+
+ALL_SQL = "SELECT c_custkey AS id, c_acctbal AS acctbal FROM customer"
+
+
+@query(ALL_SQL)
+def q42_rollback(spark, d):
+    """A draft that is rolled back leaves nothing behind."""
+    world = people(spark, d)
+    draft = Program(match(Account).foreach(Grow(1.0))).frame(world.begin())
+    draft.remove(Account, draft.rows(Account).where("id % 2 = 0"))
+    world.rollback()
+    return table(world)
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS acctbal, c_custkey <> 7 AS enabled FROM customer WHERE c_custkey IN (3, 7, 10)")
+def q43_point_lookup(spark, d):
+    """Single rows by id, disabled ones too; none for an id without a row."""
+    world = people(spark, d)
+    world.disable(Account, [7])
+    found = [(i, world.get(Account, i), world.is_enabled(Account, i)) for i in (3, 7, 10, -5)]
+    return spark.createDataFrame([(i, r["acctbal"], on) for i, r, on in found if r], "id long, acctbal double, enabled boolean")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 3 <> 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 10 = 1")
+def q44_tag_edit(spark, d):
+    world = people(spark, d)
+    rows = world.rows(Account)
+    world.remove_tag("building", rows.where("id % 3 = 0"))
+    world.add_tag("building", rows.where("id % 10 = 1"))
+    return world.tag("building")
+
+
+@query("SELECT 'building' AS tag, count(*) AS size, max(CASE WHEN c_custkey = 5 THEN 1 ELSE 0 END) = 1 AS has_five FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'big', 0, false")
+def q45_tag_size_and_clear(spark, d):
+    world = people(spark, d)
+    world.clear_tag("big")
+    return spark.createDataFrame([(t, world.tag_size(t), world.has_tag(t, 5)) for t in ("building", "big")], "tag string, size long, has_five boolean")
+
+
+PEOPLE_IDS = "SELECT c_custkey AS id FROM customer UNION SELECT p_partkey FROM part UNION SELECT s_suppkey FROM supplier"
+
+
+@query(f"{PEOPLE_IDS} EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def q46_tag_complement(spark, d):
+    return people(spark, d).tag_complement("building")
+
+
+@query("SELECT c_custkey // 32768 AS bucket, count(*) AS bits FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+def q47_tag_bitmaps(spark, d):
+    """A tag as bitmaps and back: the bits of each bucket."""
+    world = people(spark, d)
+    bitmaps = world.tag_bitmaps("building")
+    world.set_tag_bitmaps("again", bitmaps)
+    counts = bitmaps.select("bucket", F.bitmap_count("bits").alias("bits"))
+    same = world.tag("again").groupBy(F.expr("id div 32768").alias("bucket")).agg(F.count("*").alias("bits"))
+    return counts.intersect(same)
+
+
+@query("SELECT 'PartSpec' AS name, 0 AS size UNION ALL SELECT 'Segment', count(*) FROM customer UNION ALL SELECT 'Vendor', count(*) FROM supplier")
+def q48_drop_and_clear_tables(spark, d):
+    world = people(spark, d)
+    world.drop(Account)
+    world.clear_table(PartSpec)
+    return world.metadata()
+
+
+@query("SELECT 'tables' AS part, 0::BIGINT AS size UNION ALL SELECT 'tags', 0 UNION ALL SELECT 'refs', 0")
+def q49_clear_database(spark, d):
+    world = people(spark, d)
+    world.clear()
+    return spark.createDataFrame([(p, len(getattr(world.state, p))) for p in ("tables", "tags", "refs")], "part string, size long")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 10 <> 0 THEN c_acctbal ELSE c_acctbal * 2 END AS acctbal FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 10 = 0 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 10 <> 0")
+def q50_enable(spark, d):
+    """Some of the disabled rows are enabled again and take part."""
+    world = people(spark, d)
+    rows = world.rows(Account)
+    world.disable(Account, rows.where("id % 5 = 0"))
+    world.enable(Account, rows.where("id % 10 = 0"))
+    return Program(match(Account).foreach(Double_())).frame(world).table(Account).select("id", "acctbal")
+
+
+@query(
+    "SELECT 'tag' AS kind, c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 4 <> 0 "
+    "UNION ALL SELECT 'ref', c_custkey FROM customer WHERE c_custkey % 4 <> 0 AND c_nationkey % 4 <> 0 UNION ALL SELECT 'row', c_custkey FROM customer WHERE c_custkey % 4 <> 0"
+)
+def q51_purge_entity(spark, d):
+    """Entities go from tables, tags and references, as tails and as heads."""
+    world = people(spark, d)
+    world.clear_entity(world.entities().where("id % 4 = 0"), purge=True)
+    parts = [world.tag("building").select("id"), world.ref("home").select("tail"), world.rows(Account).select("id")]
+    return parts[0].select(F.lit("tag").alias("kind"), "id").union(parts[1].select(F.lit("ref"), "tail")).union(parts[2].select(F.lit("row"), "id"))
+
+
+@query("SELECT c_custkey AS id, c_acctbal * 2 AS acctbal FROM customer WHERE false UNION ALL SELECT -1, 0")
+def q52_globals(spark, d):
+    """Once its global is dropped a statement matches nothing; ensured again, the global has no values yet."""
+    world = people(spark, d)
+    world.set_global(Settings(rate=2.0, bonus=0.0))
+    world.drop_global(Settings)
+    rows = accounts(updates(match(Global(Settings), Account).foreach(Interest()), world))
+    empty = world.ensure_global(Settings)
+    return rows.union(spark.createDataFrame([(-1, float(sum(v is not None for v in empty.values())))], "id long, acctbal double"))
+
+
+class Halve(BatchSystem):
+    """Opaque Python over batches."""
+
+    writes = (Account,)
+
+    def run_batch(self, ctx, frame):
+        frame["Account.acctbal"] = frame["Account.acctbal"] / 2 + ctx.delta
+        return frame
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal / 2 + 0.5 ELSE c_acctbal END AS acctbal FROM customer")
+def q53_opaque_system(spark, d):
+    return table(Program(match(Account).has_tag("building").foreach(Halve())).frame(people(spark, d), dt=0.5))
+
+
+@query("SELECT c_custkey AS id, c_acctbal + coalesce((p_retailprice + 7) * 0.1::DOUBLE, 0) AS acctbal FROM customer LEFT JOIN part ON c_custkey = p_partkey")
+def q54_single_tasks(spark, d):
+    """The host drives the graph: whatever is ready runs, task by task."""
+    world = people(spark, d)
+    program = Program(match(Account, PartSpec).foreach(AddPart()), match(PartSpec).foreach(Price(7.0)))
+    done: set[int] = set()
+    while ready := program.ready(done):
+        world = program.run_task(world, ready[0])
+        done.add(ready[0].index)
+    return table(world)
+
+
+class Retire(System):
+    """Poor accounts are disabled once the frame is over; until then they still grow."""
+
+    writes = (Account,)
+
+    def run(self, ctx, id, account):
+        return {Account: {"enabled": account.acctbal >= 0}}
+
+
+@query("SELECT c_custkey AS id, c_acctbal + 1 AS acctbal, c_acctbal >= 0 AS enabled FROM customer")
+def q55_disable_from_a_system(spark, d):
+    program = Program(match(Account).foreach(Retire()), match(Account).foreach(Grow(1.0)).set_priority(2))
+    return program.frame(people(spark, d)).table(Account).select("id", "acctbal", "enabled")
+
+
+@query("SELECT c_custkey // 256 AS block, c_custkey % 256 AS slot, c_custkey AS id, c_acctbal AS acctbal, c_custkey AS owner FROM customer WHERE c_custkey // 256 = 1")
+def q56_block_rows(spark, d):
+    """The rows of one block with their places, and the entities that own the places."""
+    rows = TableView(people(spark, d), Account).block(1)
+    return rows.select("block", F.col("slot").cast("long").alias("slot"), "id", "acctbal", owner(F.col("block"), F.col("slot")).alias("owner"))
+
+
+@query("SELECT 3::BIGINT AS id, c_acctbal AS acctbal, true AS tagged, c_nationkey::BIGINT AS home FROM customer WHERE c_custkey = 3")
+def q57_entity_handle(spark, d):
+    world = people(spark, d)
+    entity = Entity(world, 3).add_tag("chosen")
+    return spark.createDataFrame([(3, entity.get(Account)["acctbal"], entity.has_tag("chosen"), entity.head("home").id)], "id long, acctbal double, tagged boolean, home long")
+
+
+@query("SELECT 0 AS task, '' AS parents, false AS sync UNION ALL SELECT 1, '0', false UNION ALL SELECT 2, '0,1', true")
+def q58_task_graph(spark, d):
+    """Three statements: a writer of parts, a reader of them, a follower of a reference."""
+    program = Program(match(PartSpec).foreach(Price(1.0)), match(Account, PartSpec).foreach(AddPart()), match(Account).expand("parent", PartSpec).foreach(FromParent()).set_priority(2))
+    rows = [(t.index, ",".join(map(str, sorted(t.parents))), t.requires_sync) for t in program.tasks()]
+    return spark.createDataFrame(rows, "task int, parents string, sync boolean")
+
+
+@query("SELECT 'cyclic' AS case, 'CyclicDependency' AS error UNION ALL SELECT 'filter', 'UnsupportedStatement' UNION ALL SELECT 'name', 'ExpectedStringLiteral' UNION ALL SELECT 'priority', 'PlanError'")
+def q59_validation(spark, d):
+    """What is refused when a program is made, and by which error."""
+    cases = {
+        "cyclic": lambda: Program(match(Account, PartSpec).foreach(AddPart()), match(PartSpec, Account).foreach(PriceOfAccount())),
+        "filter": lambda: match(Account).filter(3),
+        "name": lambda: match(Account).has_tag(5),
+        "priority": lambda: match(Account).foreach(Double_()).set_priority(-1),
+    }
+    rows = []
+    for name, make in cases.items():
+        try:
+            make()
+        except PlanError as error:
+            rows.append((name, type(error).__name__))
+    return spark.createDataFrame(rows, "case string, error string")
+
+
+class PriceOfAccount(System):
+    writes = (PartSpec,)
+
+    def run(self, ctx, id, part, account):
+        return {PartSpec: {"retailprice": account.acctbal}}
+
+
+@query("SELECT c_custkey AS tail, c_nationkey::BIGINT AS head FROM customer WHERE c_custkey % 3 <> 0")
+def q60_reference_disable(spark, d):
+    """Disabled references are not followed, enabled again they are."""
+    world = people(spark, d)
+    rows = world.rows(Account)
+    world.disable_ref("home", rows.where("id % 3 = 0 OR id % 5 = 0").select("id"))
+    world.disable_ref("home", rows.where("id % 5 = 0 AND id % 3 <> 0").select("id"), on=True)
+    return world.ref_rows("home")
+
+
+@query("SELECT 'Account' AS name, 1::BIGINT AS bad")
+def q61_repeated_ids(spark, d):
+    """Tables whose ids repeat are named."""
+    world = people(spark, d)
+    rows = world.table(Account)
+    world.replace_table(Account, rows.union(rows.where("id = 1")))
+    return spark.createDataFrame([(n, 1) for n in world.validate()], "name string, bad long")
+
+
+@query("SELECT c_custkey AS id, c_acctbal + 3 AS acctbal FROM customer")
+def q62_several_frames(spark, d):
+    return table(Program(match(Account).foreach(Grow(1.0))).run(people(spark, d), 3))
+
+
+@query("SELECT event_id AS id, value + 1 AS acctbal FROM events")
+def q63_stream_of_frames(spark, d):
+    """Each micro-batch of events is put into the world, then a frame runs."""
+    frames = FrameStream(Program(match(Account).foreach(Grow(1.0))), World(spark))
+    schema = src.read(spark, f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = frames.start(events.select(F.col("event_id").alias("id"), F.col("value").alias("acctbal")), upsert(Account), scratch_path(spark), availableNow=True)
+    stream.awaitTermination()
+    return table(frames.world)
+
+
+@query("SELECT 'foreach' AS operator, 0 AS depth UNION ALL SELECT 'predicate filter', 1 UNION ALL SELECT 'tag filter', 2 UNION ALL SELECT 'join', 3 UNION ALL SELECT 'scan', 4 UNION ALL SELECT 'scan', 4")
+def q64_explain(spark, d):
+    """The operators of a printed plan and how deep they stand."""
+    text = Program(match(Account, PartSpec).has_tag("building").filter(lambda a, p: a.acctbal > 0).foreach(AddPart())).explain()
+    rows = [(line.split(":")[0].strip(), (len(line) - len(line.lstrip())) // 2 - 1) for line in text.splitlines()[1:]]
+    return spark.createDataFrame(rows, "operator string, depth int")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+from ..errors import PlanError
+
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; a local one only where it is unset."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; a local one only where it is unset and all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise PlanError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="entiquery-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,21 @@ ID_SCHEMA = T.StructType([T.StructField("id", T.LongType(), False)])
 BLOCK_ROWS = 256
 
 
+def block_of(id: Column) -> Column:
+    """The block of 256 ids that an entity lies in."""
+    return F.shiftright(id, BLOCK_ROWS.bit_length() - 1)  # 256 is a power of two
+
+
+def slot_of(id: Column) -> Column:
+    """An entity's place in its block."""
+    return F.pmod(id, F.lit(BLOCK_ROWS)).cast("int")
+
+
+def owner(block: Column, slot: Column) -> Column:
+    """The entity at a place of a block."""
+    return block * BLOCK_ROWS + slot
+
+
 @dataclass(frozen=True)
 class State:
     """One version of everything."""
@@ -181,7 +197,19 @@ class World:
 
     def blocks(self, kind: type[Component] | str) -> DataFrame:
         """(block, rows): how many enabled rows each block of 256 ids has."""
-        return self.rows(kind).groupBy(F.expr(f"id div {BLOCK_ROWS}").alias("block")).agg(F.count("*").alias("rows"))
+        return self.rows(kind).groupBy(block_of(F.col("id")).alias("block")).agg(F.count("*").alias("rows"))
+
+    def block_rows(self, kind: type[Component] | str, block: int | None = None) -> DataFrame:
+        """(block, slot, id, fields) of the enabled rows of one block, or of all; ``slot`` is a row's place in its block."""
+        rows = self.rows(kind)
+        if block is not None:  # a range of ids, which reaches the scan
+            rows = rows.where((F.col("id") >= block * BLOCK_ROWS) & (F.col("id") < (block + 1) * BLOCK_ROWS))
+        return rows.select(block_of(F.col("id")).alias("block"), slot_of(F.col("id")).alias("slot"), *rows.columns)
+
+    def entities(self) -> DataFrame:
+        """(id) of every entity that has a component, enabled or not."""
+        parts = [t.select("id") for t in self._state.tables.values()]
+        return reduce(DataFrame.union, parts).distinct() if parts else self.spark.createDataFrame([], ID_SCHEMA)
 
     # tags
 
@@ -218,6 +246,22 @@ class World:
     def tag_intersection(self, a: str, b: str) -> DataFrame:
         return self.tag(a).join(self.tag(b), "id", "left_semi")
 
+    def tag_complement(self, name: str, among: DataFrame | None = None) -> DataFrame:
+        """The ids ``among`` some (all entities, if not given) that do not have the tag."""
+        return (self.entities() if among is None else self._ids(among)).join(self.tag(name), "id", "left_anti")
+
+    def tag_bitmaps(self, name: str) -> DataFrame:
+        """(bucket, bits): the tag as one bitmap of 4,096 bytes for each 32,768 ids, from 0 on."""
+        known = self.tag(name).where("id >= 0")
+        return known.groupBy(F.expr("id div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("id % 32768")).alias("bits"))
+
+    def set_tag_bitmaps(self, name: str, bitmaps: DataFrame) -> None:
+        """Set a tag from (bucket, bits) rows as ``tag_bitmaps`` makes them."""
+        byte = F.conv(F.hex(F.expr("substring(bits, at + 1, 1)")), 16, 10).cast("int")
+        rows = bitmaps.select("bucket", "bits", F.explode(F.sequence(F.lit(0), F.octet_length("bits") - 1)).alias("at")).withColumn("byte", byte).where("byte > 0")
+        rows = rows.select("bucket", "at", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where("shiftright(byte, bit) & 1 = 1")
+        self.set_tag(name, rows.select((F.col("bucket") * 32768 + F.col("at") * 8 + F.col("bit")).alias("id")))
+
     # references
 
     def has_ref_table(self, name: str) -> bool:

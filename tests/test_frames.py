@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from entiquery import BatchSystem, Component, Float, Global, Program, System, World, match, matched, updates
+from entiquery.errors import PlanError
 from entiquery.functions.arithmetic import f32
 
 
@@ -295,3 +296,54 @@ def test_no_exchange_between_statements(spark):
 def test_explain():
     text = golden().explain()
     assert "cascading gather: parent" in text and "left filter join" in text and "tag filter: has test, on column" in text and "scan: Position (read_write)" in text
+
+
+def test_a_host_runs_the_tasks(spark):
+    program = golden()
+    world, at_once, done = family(spark, 9, [(i, i // 2) for i in range(1, 9)]), None, set()
+    at_once = positions(program.frame(world, 0.1))
+    assert {t.index for t in program.roots()} == {t.index for t in program.ready(set())}
+    while ready := program.ready(done):
+        world = program.run_task(world, ready[-1], 0.1)
+        done.add(ready[-1].index)
+    assert len(done) == len(program.tasks()) and positions(world) == at_once
+    with pytest.raises(PlanError):
+        golden().run_task(world, program.tasks()[0])
+
+
+class Sleep(System):
+    """Disables what has moved far enough, at the end of the frame."""
+
+    writes = (Position,)
+
+    def run(self, ctx, id, position):
+        return {Position: {"enabled": position.x < 1, "x": position.x + 1}}
+
+
+def test_changes_asked_for_in_a_system_wait_for_the_end(spark):
+    world = moving(spark, 4)
+    program = Program(match(Position).foreach(Sleep()), match(Position).foreach(Sleep()).set_priority(2))
+    after = program.frame(world, 0.1)
+    assert {r["x"] for r in after.table(Position).collect()} == {2.0} and after.rows(Position).count() == 0
+    again = program.frame(after, 0.1)
+    assert {r["x"] for r in again.table(Position).collect()} == {2.0}
+
+
+def test_cascades_go_down_several_levels_a_job(spark):
+    n = 40
+    world = family(spark, n, [(i, i - 1) for i in range(1, n)])
+    after = positions(Program(*golden().statements[:2]).frame(world, 0.1))
+    value = f(1)
+    for i in range(1, n):
+        value = (f(1) + value) * f(1) * f(0.1) * f(1)
+        assert after[i] == pytest.approx(value)
+
+
+def test_a_frame_reads_and_moves_each_table_once(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.range(50).select("id", F.col("id").cast("float").alias("x"), F.col("id").cast("float").alias("y"), F.col("id").cast("float").alias("z")).write.parquet(str(tmp_path / name))
+    world = World(spark)
+    world.create(Position, spark.read.parquet(str(tmp_path / "a")))
+    world.create(Velocity, spark.read.parquet(str(tmp_path / "b")))
+    plan = Program(MOVE).frame(world, 0.1).table(Position)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 3 and plan.split("Union")[0].count("Exchange") == 1  # the third scan: disabled rows stay

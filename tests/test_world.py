@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entiquery import Bool, Char, Component, Double, Entity, Float, Int8, String, Struct, UInt8, UInt32, UInt64, Union, World, anonymous
+from entiquery import Bool, Char, Component, Double, Entity, Float, Int8, String, Struct, TableView, UInt8, UInt32, UInt64, Union, World, anonymous
 from entiquery.errors import PlanError, UnsupportedTypeModifier
 from entiquery.functions.arithmetic import divide, f32, wrap
 from entiquery.sources import parquet as src
+from entiquery.sources import tables
+from entiquery.world import block_of, owner, slot_of
 
 
 class Field(Component):
@@ -260,3 +262,46 @@ def test_entity_handle(spark):
     world.add_tag("t", [5])
     world.clear_tag("t")
     assert world.tag_size("t") == 0
+
+
+def test_places_in_blocks(spark):
+    rows = spark.createDataFrame([(i,) for i in (0, 255, 256, 5000, -1, 2**60 + 1)], "id long").select("id", block_of(F.col("id")).alias("block"), slot_of(F.col("id")).alias("slot"))
+    got = {r["id"]: (r["block"], r["slot"]) for r in rows.collect()}
+    assert got == {i: (i // 256, i % 256) for i in got}
+    assert rows.where(owner(F.col("block"), F.col("slot")) != F.col("id")).count() == 0
+
+
+def test_table_view(spark):
+    view = TableView(filled(spark, 1000), Field)
+    view.disable(spark.range(256, 512)).remove([0, 600]).put({2000: Field(field1=1)})
+    assert view.size() == 999 and view.rows().count() == 743 and view.get(0) is None and view.get(300)["field1"] == 300
+    assert [b.count() for b in view.blocks()] == [255, 255, 232, 1]
+    assert sorted(r["slot"] for r in view.block(7).collect()) == [2000 % 256]
+    assert view.enable([300]).rows().count() == 744 and view.clear().size() == 0
+
+
+def test_tag_complement_and_bitmaps(spark):
+    world = filled(spark, 100)
+    some = [0, 1, 7, 8, 32767, 32768, 10**7]
+    world.set_tag("t", some)
+    assert ids(world.tag_complement("t")) == [i for i in range(100) if i not in some]
+    assert ids(world.tag_complement("t", [1, 2, 3])) == [2, 3]
+    bitmaps = world.tag_bitmaps("t")
+    assert sorted(r["bucket"] for r in bitmaps.collect()) == [0, 1, 10**7 // 32768]
+    world.set_tag_bitmaps("u", bitmaps)
+    assert ids(world.tag("u")) == some
+
+
+def test_scratch_folders_are_shared_on_a_cluster(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: None), "set": staticmethod(lambda key, value: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(PlanError):
+        tables.scratch_path(Elsewhere)
+    for master in ("local", "local[*]", "local[4]", "local[4,2]"):
+        Elsewhere.sparkContext.master = master
+        assert tables.scratch_path(Elsewhere).startswith("file:///")
+    Elsewhere.sparkContext.master = "local-cluster[3,2,1024]"
+    with pytest.raises(PlanError):
+        tables.scratch_path(Elsewhere)
