@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship
-from .features import BUCKETS, features
+from .features import BUCKETS, WIDE, features
 from .shared import lean, materialise
 
 #: Features of all rows of a sample together.
-FEATURES = 1 << 25
+FEATURES = 1 << 24
 
-_SAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.list_(pa.int32()))])
+_SAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.list_(pa.int64()))])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
@@ -44,7 +44,26 @@ class Model:
             yield i, k, 1 / (1 + np.exp(-np.clip(self.scale * total, -40, 40)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, size: int, kinds: tuple[int, ...], prefixes: tuple[int, ...] = (), most: int = FEATURES) -> tuple[list[np.ndarray], np.ndarray]:
+@dataclass
+class SparseModel:
+    """score = sigmoid(weights of a text's buckets + bias); ``keys``: the sorted buckets, of WIDE, that have a weight."""
+
+    keys: np.ndarray
+    weights: np.ndarray
+    bias: float
+    kinds: tuple[int, ...] = ()
+    prefixes: tuple[int, ...] = ()
+
+    def scores(self, column: pa.Array):
+        """Yields (first row, last row, scores)."""
+        keys, weights = np.r_[self.keys, WIDE], np.r_[self.weights, 0.0]
+        for i, k, row, bucket in features(column, self.kinds, self.prefixes, WIDE):
+            at = np.searchsorted(keys, bucket)
+            total = np.bincount(row, np.where(keys[at] == bucket, weights[at], 0.0), k - i) + self.bias
+            yield i, k, 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, size: int, kinds: tuple[int, ...], prefixes: tuple[int, ...] = (), buckets: int = BUCKETS, most: int = FEATURES) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and 0/1 labels of at most ``size`` labelled rows with at most ``most`` features: half of each label, by the hash of doc_id.
 
     Both bound what reaches the driver. The choice is the same for any partitioning: rows are chosen by labels, of rows that repeat a doc_id
@@ -61,11 +80,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
 
     def run(batches):
         for b in batches:
-            for i, k, row, bucket in features(b.column(1), kinds, prefixes):
+            for i, k, row, bucket in features(b.column(1), kinds, prefixes, buckets):
                 cuts = pa.array(np.searchsorted(row, np.arange(k - i + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:k], b.column(2)[i:k], pa.ListArray.from_arrays(cuts, pa.array(bucket, pa.int32()))], schema=_SAMPLE)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:k], b.column(2)[i:k], pa.ListArray.from_arrays(cuts, pa.array(bucket, pa.int64()))], schema=_SAMPLE)
 
-    found = materialise(texts.mapInArrow(lean(run), "doc_id long, label int, buckets array<int>"))
+    found = materialise(texts.mapInArrow(lean(run), "doc_id long, label int, buckets array<long>"))
     sizes = np.array(found.select(F.xxhash64("doc_id"), "doc_id", F.size("buckets")).orderBy(F.xxhash64("doc_id"), "doc_id").collect(), np.int64).reshape(-1, 3)
     fits = np.cumsum(sizes[:, 2]) <= most
     if not fits.all():
@@ -103,8 +122,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], ex
     return w, bias
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and bias of ridge logistic regression on soft labels, by accelerated gradient steps on used columns."""
+def logistic(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+    """Columns in use, their weights and the bias of ridge logistic regression on soft labels, by accelerated gradient steps."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     column, at = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -119,12 +138,10 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, penalty:
         g = weight * (p - y) / total
         new, newb = look - rate * (np.bincount(at, g[row], len(column)) + penalty * look), lookb - rate * g.sum()
         v, vb, w, bias = new - w, newb - bias, new, newb
-    out = np.zeros(BUCKETS)
-    out[column] = w
-    return out, bias
+    return column, w, bias
 
 
-def score_documents(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model | SparseModel, held_out: Column) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     ship(docs.sparkSession)
     shared_model = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import BUCKETS, WORD, features
-from .linear import Model, labelled_sample, logistic, remainder, score_documents
+from .features import WIDE, WORD, features
+from .linear import SparseModel, labelled_sample, logistic, remainder, score_documents
 from .shared import lean
 
 SAMPLE, STEMS, ROUNDS, PENALTY = 6000, 150, 60, 1e-4
@@ -53,7 +53,7 @@ _MARKS = ",.;:!?"
 def lexicon_buckets(words: list[str]) -> np.ndarray:
     """The word buckets of a lexicon, with the marks that may follow a word."""
     forms = [w + m for w in words for m in ("", *_MARKS)]
-    return np.unique(np.concatenate([b for _, _, _, b in features(pa.array(forms), KINDS)]))
+    return np.unique(np.concatenate([b for _, _, _, b in features(pa.array(forms), KINDS, (), WIDE)]))
 
 
 def _association(a: np.ndarray, c: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -63,10 +63,11 @@ def _association(a: np.ndarray, c: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.where(a * n0 > c * n1, 2 * (part(a, n1, p) + part(c, n0, p)), 0.0)
 
 
-def _counts(rows: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
-    """For each feature the weight of the rows that have it."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return np.bincount(flat, np.repeat(weight, [len(r) for r in rows]), BUCKETS)
+def _counts(rows: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of all rows, sorted, and for each the weight of the rows that have it, and of the rest of them."""
+    names, at = np.unique(np.concatenate(rows), return_inverse=True)
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    return names, np.bincount(at, weight[of], len(names)), np.bincount(at, 1 - weight[of], len(names))
 
 
 def _has(rows: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
@@ -75,21 +76,20 @@ def _has(rows: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     by = np.argsort(bucket, kind="stable")
     bucket, of = bucket[by], of[by]
-    wanted = np.zeros(BUCKETS, bool)
-    wanted[bucket] = True
     out = np.zeros((len(rows), len(sets)), bool)
     for i, r in enumerate(rows):
-        r = r[wanted[r]]
-        for low, high in zip(np.searchsorted(bucket, r), np.searchsorted(bucket, r, "right"), strict=True):
-            out[i, of[low:high]] = True
+        low, high = np.searchsorted(bucket, r), np.searchsorted(bucket, r, "right")
+        for a, b in zip(low[high > low].tolist(), high[high > low].tolist(), strict=True):
+            out[i, of[a:b]] = True
     return out
 
 
 def stems(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """The features that make voters: the strongest in their association with the label."""
-    strength = _association(_counts(rows, labels * 1.0), _counts(rows, 1.0 - labels), labels.sum(), (1 - labels).sum())
+    names, toxic, clean = _counts(rows, labels * 1.0)
+    strength = _association(toxic, clean, labels.sum(), (1 - labels).sum())
     best = np.argsort(-strength, kind="stable")[:STEMS]
-    return best[strength[best] > STRONG]
+    return names[best[strength[best] > STRONG]]
 
 
 def votes(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
@@ -176,13 +176,12 @@ def label_model(votes: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
     return model
 
 
-def _lexicon_model() -> Model:
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[lexicon_buckets([w for words in LEXICONS.values() for w in words])] = 4.0
-    return Model(weights, -2.0, 1.0, None, KINDS, PREFIXES)
+def _lexicon_model() -> SparseModel:
+    keys = lexicon_buckets([w for words in LEXICONS.values() for w in words])
+    return SparseModel(keys, np.full(len(keys), 4.0), -2.0, KINDS, PREFIXES)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray) -> SparseModel:
     if len(set(labels.tolist())) < 2:
         return _lexicon_model()
     cast = votes(rows, stems(rows, labels))
@@ -190,17 +189,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     if not 0 < (posterior > 0.5).mean() < 1:
         return _lexicon_model()
     toxic, clean = posterior.sum(), (1 - posterior).sum()
-    mask = _association(_counts(rows, posterior), _counts(rows, 1 - posterior), toxic, clean) > USED
-    mask[lexicon_buckets([w for words in LEXICONS.values() for w in words])] = True
-    kept = [r[mask[r]] for r in rows]
+    names, with_toxic, with_clean = _counts(rows, posterior)
+    used = np.union1d(names[_association(with_toxic, with_clean, toxic, clean) > USED], lexicon_buckets([w for words in LEXICONS.values() for w in words]))
+    kept = [np.intersect1d(r, used, assume_unique=True) for r in rows]
     weight = np.where(posterior > 0.5, 0.5 / toxic, 0.5 / clean) * len(rows)
-    w, bias = logistic(kept, posterior, weight, PENALTY)
-    return Model(w.astype(np.float32), float(bias), 1.0, None, KINDS, PREFIXES)
+    keys, w, bias = logistic(kept, posterior, weight, PENALTY)
+    return SparseModel(keys, w, float(bias), KINDS, PREFIXES)
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def toxicity_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> SparseModel:
     """Rows whose crc32(doc_id) mod 5 is 0 are never learnt from."""
-    return fit(*labelled_sample(docs, labels, "toxic", remainder("doc_id", 5) != 0, sample, KINDS, PREFIXES))
+    return fit(*labelled_sample(docs, labels, "toxic", remainder("doc_id", 5) != 0, sample, KINDS, PREFIXES, WIDE))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
