@@ -18,7 +18,9 @@ Two texts are alike if the Jaccard similarity of their five-word shingles is ``l
 3. Of each group the smallest doc_id stays.
 
 Shingles travel in blocks by hash: 14 bytes each to be counted, and only those of two texts or more come back. A task holds one
-block of about HELD shingles, or the classes that meet at one shingle (28 bytes each). Nothing is collected.
+block of about HELD shingles, or the classes that meet at one shingle (28 bytes each). A shingle at which more than BIG meet (a large
+family) is split: in the rounds into random parts, others in each round; in the end its largest group is dealt out over parts, and all
+others stand in each of them. Nothing is collected.
 
 Defined results: a null text is empty; texts without words are alike; texts of fewer than five words have one
 shingle, the whole; a null doc_id comes before all others; an empty table gives no rows; further columns are kept,
@@ -41,8 +43,8 @@ WORDS, SIMILARITY = 5, 0.8
 HELD, SORT = 1 << 20, 1 << 20
 #: Rounds in which neighbours are paired before all pairs are.
 ROUNDS = 2
-#: Rows that met, and pairs, that are worked through together.
-MEET = 1 << 16
+#: Rows that met, and pairs, that are worked through together; rows at one shingle from which they are split.
+MEET, BIG = 1 << 16, 1 << 18
 _ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int32()), ("print", pa.int64())])
 _SENT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -273,6 +275,21 @@ def meetings(sent: DataFrame) -> DataFrame:
     return sent.mapInArrow(shared.lean(meet), "key long, id long, size int, place int")
 
 
+def minority(key: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which rows are not of the most common root of their key."""
+    by = np.lexsort((root, key))
+    k, r = key[by], root[by]
+    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])]) if len(k) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[first, len(k)])
+    top = np.lexsort((n, k[first]))  # the last of each key is its largest run
+    largest = np.zeros(len(first), bool)
+    if len(first):
+        largest[top[np.r_[k[first][top][1:] != k[first][top][:-1], True]]] = True
+    out = np.empty(len(k), bool)
+    out[by] = ~np.repeat(largest, n)
+    return out
+
+
 def pairs_between(met: DataFrame, least: float, turn: int | None = None) -> DataFrame:
     """(a, b), a > b, repeats included: those of ``met`` (key, id, size, place, root) that share a key, have different roots and may agree.
 
@@ -286,12 +303,6 @@ def pairs_between(met: DataFrame, least: float, turn: int | None = None) -> Data
 
     def run(batches):
         for key, ids, size, place, root in _whole_keys(batches):
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
-            keep = np.repeat(mixed, np.diff(np.r_[first, len(key)]))
-            key, ids, size, place, root = (c[keep] for c in (key, ids, size, place, root))
-            if not len(key):
-                continue
             if turn is not None:
                 run_starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (root[1:] != root[:-1])])
                 to = np.repeat(run_starts, np.diff(np.r_[run_starts, len(key)])) - 1
@@ -299,27 +310,50 @@ def pairs_between(met: DataFrame, least: float, turn: int | None = None) -> Data
                 pairs = np.unique(paired(size, place, ids, at, to[at]), axis=0)
                 yield shared.batch(_PAIR, pairs[:, 0].copy(), pairs[:, 1].copy())
                 continue
-            at, step, found, many = np.arange(len(key)), 0, [], 0
-            while len(at):
-                step += 1
-                at = at[at + step < len(key)]
-                to = at + step
-                inside = (key[at] == key[to]) & (size[at] >= _reach(least) * size[to])  # sizes ascend within a key
-                at, to = at[inside], to[inside]
-                apart = root[at] != root[to]
-                found.append(paired(size, place, ids, at[apart], to[apart]))
-                many += len(found[-1])
-                if many >= MEET or not len(at):
-                    pairs = np.unique(np.concatenate(found), axis=0)
-                    yield shared.batch(_PAIR, pairs[:, 0].copy(), pairs[:, 1].copy())
-                    found, many = [], 0
+            few, found, many = minority(key, root), [], 0
+            for way in (1, -1):  # of two different roots one at least is not the key's most common: from there on, and back to those that are
+                at, step = np.flatnonzero(few), 0
+                while len(at):
+                    step += way
+                    at = at[(at + step >= 0) & (at + step < len(key))]
+                    to = at + step
+                    inside = (key[at] == key[to]) & (np.minimum(size[at], size[to]) >= _reach(least) * np.maximum(size[at], size[to]))  # sizes ascend within a key
+                    at, to = at[inside], to[inside]
+                    apart = (root[at] != root[to]) & ((way > 0) | ~few[to])
+                    found.append(paired(size, place, ids, at[apart], to[apart]))
+                    many += len(found[-1])
+                    if many >= MEET:
+                        pairs = np.unique(np.concatenate(found), axis=0)
+                        yield shared.batch(_PAIR, pairs[:, 0].copy(), pairs[:, 1].copy())
+                        found, many = [], 0
+            if many:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield shared.batch(_PAIR, pairs[:, 0].copy(), pairs[:, 1].copy())
 
     by = F.xxhash64("id", F.lit(turn)) if turn else F.col("size").cast("long")
-    rows = met.select("key", "id", "size", "place", "root", by.alias("by")).repartition(shared.parallelism(met.sparkSession), "key")
+    rows = split(met, turn).select("key", "id", "size", "place", "root", by.alias("by")).repartition(shared.parallelism(met.sparkSession), "key")
     rows = rows.sortWithinPartitions("key", "by", "id").drop("by")
     return rows.mapInArrow(shared.lean(run), "a long, b long")
 
 
+def split(met: DataFrame, turn: int | None) -> DataFrame:
+    """``met`` without keys at which all have one root; keys of more than BIG rows come in parts, as keys of their own.
+
+    For a ``turn``, random parts. Else every two rows of different roots meet in some part, but for those of the largest root only one part each.
+    """
+    keys = met.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    met = met.join(keys.select("key", F.ceil(F.col("n") / BIG).cast("int").alias("parts")), "key")
+    salt = F.pmod(F.xxhash64("id", F.lit(-1 if turn is None else turn)), F.col("parts")).cast("int")
+    if turn is not None:
+        own = F.array(salt)
+    else:
+        many = met.where("parts > 1").groupBy("key", "root").agg(F.count("*").alias("n"))
+        met = met.join(many.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most")), "key", "left")
+        own = F.when((F.col("parts") == 1) | (F.col("root") == F.col("most")), F.array(salt)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = met.withColumn("part", F.explode(own))
+    return met.withColumn("key", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "part")))
+
+
 def shingle_lists(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, marks): the sorted shingle hashes of the rows of ``docs`` named in ``wanted`` (id)."""
 

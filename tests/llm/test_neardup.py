@@ -151,6 +151,24 @@ def test_no_pair_from_the_threshold_on_is_missed(spark):
     assert len(groups) == 300 and left == groups
 
 
+def test_a_shingle_of_a_large_family_is_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BIG", 4)
+    rng = np.random.default_rng(36)
+    words = [f"w{i}" for i in range(200)]
+    texts = [edited(words, rng, 1, f"m{i}x") for i in range(60)]  # one family
+    texts += [" ".join([*words[:90], *(f"o{i}y{k}" for k in range(20))]) for i in range(12)]  # half of it and something else
+    texts += [f"{texts[60 + i]} more" for i in range(0, 12, 3)]
+    left, groups = left_and_groups(spark, texts)
+    assert left == groups and len(groups) < 20
+    met = spark.createDataFrame([(k, i, 5, 0, 1 if i < 40 else i) for k in (1, 2) for i in range(50)] + [(3, i, 5, 0, 7) for i in range(30)], "key long, id long, size int, place int, root long")
+    parts = {}
+    for r in neardup.split(met, None).collect():
+        parts.setdefault(r["key"], set()).add((r["id"], r["root"]))
+    pairs = {tuple(sorted((a, b))) for p in parts.values() for a, x in p for b, y in p if x != y}
+    assert pairs == {(a, b) for a in range(50) for b in range(40, 50) if a < b} and max(map(len, parts.values())) < 25
+    assert sum(map(len, parts.values())) == 2 * (40 + 13 * 10) and neardup.split(met, 1).count() == 100
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(35)
     for n in [*range(1, 60), 500, 2000]:
@@ -164,6 +182,12 @@ def test_prefixes_of_similar_sets_meet():
                 assert len(both) and neardup.may_agree(len(a) + 0 * i, i, len(b) + 0 * k, k, 0.8).any()
 
 
+def test_minority():
+    key, root = np.array([1, 1, 1, 2, 5, 5, 5, 5, 5]), np.array([7, 8, 7, 9, 4, 3, 3, 6, 3])
+    assert neardup.minority(key, root).tolist() == [False, True, False, False, True, False, False, True, False]
+    assert neardup.minority(key[:0], root[:0]).tolist() == []
+
+
 def test_shared_shingles_are_counted_by_text(spark):
     texts = ["a b c d e f", "a b c d e g", "a b c d e f", "", None, "q r s t u v", "x b c d e f"]
     frame = shared.materialise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
