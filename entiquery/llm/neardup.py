@@ -40,7 +40,7 @@ from .words import gram_hashes, hash_words
 
 WORDS, SIMILARITY = 5, 0.8
 #: Shingles that a block holds on average, and that a task sorts into blocks at once.
-HELD, SORT = 1 << 20, 1 << 20
+HELD, SORT = 1 << 19, 1 << 19
 #: Rounds in which neighbours are paired before all pairs are.
 ROUNDS = 2
 #: Rows that met, and pairs, that are worked through together; rows at one shingle from which they are split.
@@ -60,7 +60,7 @@ def sketch(words: np.ndarray) -> bytes:
     return np.unique(gram_hashes(words, min(WORDS, len(words)))).tobytes()
 
 
-def similarity(a: bytes, b: bytes) -> float:
+def similarity(a: bytes | memoryview, b: bytes | memoryview) -> float:
     """Jaccard similarity of two sketches."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
@@ -134,12 +134,12 @@ def _blocks(batches, kinds: tuple):
     """The rows of each bucket, for blocks sorted by it: the bucket and arrays of ``kinds``, one a column."""
     held, now = [], None
     for b in batches:
-        for bucket, *blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for bucket, *blobs in zip(b.column(0).to_pylist(), *map(shared.views, b.columns[1:]), strict=True):
             if held and bucket != now:
                 yield now, *(np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held, strict=True), kinds))
                 held = []
             now = bucket
-            held.append([x or b"" for x in blobs])
+            held.append(blobs)
     if held:
         yield now, *(np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held, strict=True), kinds))
 
@@ -371,7 +371,7 @@ def verified_pairs(pairs: DataFrame, lists: DataFrame, least: float) -> DataFram
 
     def run(batches):
         for x in batches:
-            a, b = x.column(2).to_pylist(), x.column(3).to_pylist()
+            a, b = shared.views(x.column(2)), shared.views(x.column(3))
             keep = pa.array([similarity(s, t) >= _reach(least) for s, t in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], schema=_PAIR).filter(keep)
 

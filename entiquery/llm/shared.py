@@ -95,6 +95,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
+def views(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column without copies; null is empty."""
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return []
+    offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    whole = memoryview(data if data is not None else b"")
+    return [whole[a:b] for a, b in zip(offs, offs[1:])]
+
+
 def blocks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``size`` bytes, or one row if that is longer."""
     first, rows = 0, len(offsets) - 1
