@@ -11,14 +11,15 @@ Two texts are alike if the Jaccard similarity of their five-word shingles is ``l
    order of all shingles that is the same for every text. The order here is by the number of texts that hold a shingle, rarest
    first, counted over all texts. What stands in one text alone leads nowhere, so a text whose prefix is all its own has
    no partner; the others send the rest of their prefix, texts that share a shingle there meet, and no pair is lost.
-   Where the shared shingle stands in both and how many shingles there are bounds what two texts can have in common; pairs that
-   cannot reach ``least`` go at once, all others are verified on all their shingles (64-bit hashes). For some rounds each class
+   Where the shared shingle stands in both and how many shingles there are bounds what two texts can have in common, and so
+   do SIGNATURE parities of each text's shingles: every parity that differs stands for a shingle that one of the two lacks. Pairs that
+   cannot reach ``least`` by these bounds go at once, all others are verified on all their shingles (64-bit hashes). For some rounds each class
    is paired, at every shingle where it meets others, with one neighbour of another group: by size first, then in a random
    order. In the end every other pair that meets and is in different groups yet is verified too, and groups are final.
 3. Of each group the smallest doc_id stays.
 
 Shingles travel in blocks by hash: 14 bytes each to be counted, and only those of two texts or more come back. A task holds one
-block of about HELD shingles, or the classes that meet at one shingle (28 bytes each). A shingle at which more than BIG meet (a large
+block of about HELD shingles, or the classes that meet at one shingle (some 100 bytes each). A shingle at which more than BIG meet (a large
 family) is split: in the rounds into random parts, others in each round; in the end its largest group is dealt out over parts, and all
 others stand in each of them. Nothing is collected.
 
@@ -39,13 +40,15 @@ from .features import SOLID
 from .words import gram_hashes, hash_words
 
 WORDS, SIMILARITY = 5, 0.8
+#: Parities of a text's shingles.
+SIGNATURE = 512
 #: Shingles that a block holds on average, and that a task sorts into blocks at once.
 HELD, SORT = 1 << 19, 1 << 19
 #: Rounds in which neighbours are paired before all pairs are.
 ROUNDS = 2
 #: Rows that met, and pairs, that are worked through together; rows at one shingle from which they are split.
 MEET, BIG = 1 << 16, 1 << 18
-_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int32()), ("print", pa.int64())])
+_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int32()), ("print", pa.int64()), ("parity", pa.binary())])
 _SENT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _BLOCK = pa.schema([("bucket", pa.int32()), ("text", pa.binary()), ("gram", pa.binary()), ("held", pa.binary())])
@@ -70,6 +73,11 @@ def similarity(a: bytes | memoryview, b: bytes | memoryview) -> float:
     return common / (len(both) - common)
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """For each of SIGNATURE classes of distinct shingles whether their number is odd."""
+    return np.packbits(np.bincount((grams % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1).tobytes()
+
+
 def _reach(least: float) -> float:
     """``least`` with room for rounding; the same for prefixes, bounds and verification."""
     return least - 1e-9
@@ -86,6 +94,12 @@ def may_agree(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place
     return np.minimum(size_a - place_a, size_b - place_b) >= needed
 
 
+def parity_allows(parity_a: np.ndarray, parity_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets with these parities (rows of 64-bit words) can agree to ``least``: no more parities differ than shingles may."""
+    most = np.floor((1 - _reach(least)) / (1 + _reach(least)) * (size_a.astype(np.int64) + size_b) + 1e-6)
+    return np.bitwise_count(parity_a ^ parity_b).sum(1, dtype=np.int64) <= most
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -99,20 +113,20 @@ def text_hashes(text: pa.Array) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, h1, h2, size, print) of every row.
+    """(uid, doc_id, h1, h2, size, print, parity) of every row.
 
-    h1 and h2 hash the whole text, size counts its shingles, print is the SimHash of them all.
+    h1 and h2 hash the whole text, size counts its shingles, print is the SimHash of them all, repeats included.
     """
 
     def run(batches):
         for b in batches:
             uid, doc, text = b.columns
             for (i, k, hashes, before), (_, _, prints) in zip(hash_words(text, word_bytes=SOLID), simhash.block_prints(text, WORDS), strict=True):
-                size = [len(sketch(hashes[a:c])) // 8 for a, c in zip(before, before[1:])]
+                grams = [np.frombuffer(sketch(hashes[a:c]), np.uint64) for a, c in zip(before, before[1:])]
                 whole = text_hashes(text[i:k]).view(np.int64)
-                yield shared.batch(_ROWS, uid[i:k], doc[i:k], whole[:, 0].copy(), whole[:, 1].copy(), size, prints.view(np.int64))
+                yield shared.batch(_ROWS, uid[i:k], doc[i:k], whole[:, 0].copy(), whole[:, 1].copy(), [len(g) for g in grams], prints.view(np.int64), [parities(g) for g in grams])
 
-    return _texts(docs).mapInArrow(shared.lean(run), "uid long, doc_id long, h1 long, h2 long, size int, print long")
+    return _texts(docs).mapInArrow(shared.lean(run), "uid long, doc_id long, h1 long, h2 long, size int, print long, parity binary")
 
 
 def _dealt(bucket: np.ndarray, *columns: np.ndarray):
@@ -291,23 +305,26 @@ def minority(key: np.ndarray, root: np.ndarray) -> np.ndarray:
 
 
 def pairs_between(met: DataFrame, least: float, turn: int | None = None) -> DataFrame:
-    """(a, b), a > b, repeats included: those of ``met`` (key, id, size, place, root) that share a key, have different roots and may agree.
+    """(a, b), a > b, repeats included: those of ``met`` (key, id, size, place, parity, root) that share a key, have different roots and may agree.
 
     All of them, or for a ``turn`` of each row the pair with the last one before it of another root: by size (0) or in a random order.
     """
 
-    def paired(size, place, ids, at, to):
+    def paired(size, place, parity, ids, at, to):
         good = may_agree(size[at], place[at], size[to], place[to], least)
+        at, to = at[good], to[good]
+        good = parity_allows(parity[at], parity[to], size[at], size[to], least)
         x, y = ids[at[good]], ids[to[good]]
         return np.stack([np.maximum(x, y), np.minimum(x, y)], 1)
 
     def run(batches):
-        for key, ids, size, place, root in _whole_keys(batches):
+        for key, ids, size, place, root, parity in _whole_keys(batches):
+            parity = np.frombuffer(b"".join(parity.tolist()), np.uint64).reshape(len(key), -1)
             if turn is not None:
                 run_starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (root[1:] != root[:-1])])
                 to = np.repeat(run_starts, np.diff(np.r_[run_starts, len(key)])) - 1
                 at = np.flatnonzero((to >= 0) & (key[to] == key))
-                pairs = np.unique(paired(size, place, ids, at, to[at]), axis=0)
+                pairs = np.unique(paired(size, place, parity, ids, at, to[at]), axis=0)
                 yield shared.batch(_PAIR, pairs[:, 0].copy(), pairs[:, 1].copy())
                 continue
             few, found, many = minority(key, root), [], 0
@@ -320,7 +337,7 @@ def pairs_between(met: DataFrame, least: float, turn: int | None = None) -> Data
                     inside = (key[at] == key[to]) & (np.minimum(size[at], size[to]) >= _reach(least) * np.maximum(size[at], size[to]))  # sizes ascend within a key
                     at, to = at[inside], to[inside]
                     apart = (root[at] != root[to]) & ((way > 0) | ~few[to])
-                    found.append(paired(size, place, ids, at[apart], to[apart]))
+                    found.append(paired(size, place, parity, ids, at[apart], to[apart]))
                     many += len(found[-1])
                     if many >= MEET:
                         pairs = np.unique(np.concatenate(found), axis=0)
@@ -331,7 +348,7 @@ def pairs_between(met: DataFrame, least: float, turn: int | None = None) -> Data
                 yield shared.batch(_PAIR, pairs[:, 0].copy(), pairs[:, 1].copy())
 
     by = F.xxhash64("id", F.lit(turn)) if turn else F.col("size").cast("long")
-    rows = split(met, turn).select("key", "id", "size", "place", "root", by.alias("by")).repartition(shared.parallelism(met.sparkSession), "key")
+    rows = split(met, turn).select("key", "id", "size", "place", "root", "parity", by.alias("by")).repartition(shared.parallelism(met.sparkSession), "key")
     rows = rows.sortWithinPartitions("key", "by", "id").drop("by")
     return rows.mapInArrow(shared.lean(run), "a long, b long")
 
@@ -385,8 +402,8 @@ def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataF
     spark = docs.sparkSession
     shared.ship(spark)
     rows = shared.materialise(describe(docs))
-    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.first("size").alias("size"), F.first("print").alias("print"))
-    classes = shared.materialise(classes.select("h1", F.col("first.uid").alias("id"), "first", "size", "print"))
+    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid")).alias("first"), *(F.first(c).alias(c) for c in ("size", "print", "parity")))
+    classes = shared.materialise(classes.select("h1", F.col("first.uid").alias("id"), "first", "size", "print", "parity"))
     shared.remove(rows)
     near = shared.materialise(fingerprint_pairs(classes))
     shared.release(spark)
@@ -394,7 +411,7 @@ def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataF
     buckets = max(shared.parallelism(spark), -(-shingles // HELD))
     common = shared.materialise(shared_shingles(docs, buckets))
     shared.release(spark)
-    met = shared.materialise(meetings(prefixes(classes, common, buckets, least)))
+    met = shared.materialise(meetings(prefixes(classes, common, buckets, least)).join(classes.select("id", "parity"), "id"))
     shared.release(spark)
     shared.remove(common)
     lists = shared.materialise(shingle_lists(docs, near.select(F.col("a").alias("id")).union(near.select("b")).union(met.select("id")).distinct()))

@@ -182,6 +182,19 @@ def test_prefixes_of_similar_sets_meet():
                 assert len(both) and neardup.may_agree(len(a) + 0 * i, i, len(b) + 0 * k, k, 0.8).any()
 
 
+def test_parities_lose_no_pair():
+    rng = np.random.default_rng(37)
+    words = lambda p: np.frombuffer(p, np.uint64)[None]
+    for n in (0, 1, 4, 5, 30, 400, 3000):
+        a = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+        for out in {0, n // 20, n // 10, n // 9, n // 8, n // 4, n // 2}:
+            b = np.r_[a[out:], np.unique(rng.integers(1, 1 << 63, out, dtype=np.uint64))]
+            size = np.array([len(a)]), np.array([len(b)])
+            allowed = neardup.parity_allows(words(neardup.parities(a)), words(neardup.parities(b)), *size, 0.8)[0]
+            assert allowed or neardup.similarity(a.tobytes(), np.sort(b).tobytes()) < 0.8
+            assert not (allowed and 5 <= n <= 400 and out == n // 2)  # and half of the shingles are told apart
+
+
 def test_minority():
     key, root = np.array([1, 1, 1, 2, 5, 5, 5, 5, 5]), np.array([7, 8, 7, 9, 4, 3, 3, 6, 3])
     assert neardup.minority(key, root).tolist() == [False, True, False, False, True, False, False, True, False]
