@@ -4,8 +4,7 @@ Two texts are alike if the Jaccard similarity of their five-word shingles is ``l
 
 1. SimHash. Each class has the fingerprint of its five-word shingles. Ball hashing finds the fingerprints within 3 bits
    (module ``simhash``); each class is paired with the first one of its fingerprint, and those with each other along
-   the links. What is verified on all shingles makes groups by connected components, so most copies, and large families of
-   them, are groups before anything else is compared.
+   the links, and verified on all shingles: equal and almost equal texts.
 2. The rest. Fingerprints of texts that agree to 0.8 differ in some ten bits, so links of 3 bits alone would lose most
    pairs near that bound. But two sets with that similarity share one of their first n - ceil(least * n) + 1 shingles, in any
    order of all shingles that is the same for every text. The order here is by the number of texts that hold a shingle, rarest
@@ -13,14 +12,14 @@ Two texts are alike if the Jaccard similarity of their five-word shingles is ``l
    no partner; the others send the rest of their prefix, texts that share a shingle there meet, and no pair is lost.
    Where the shared shingle stands in both and how many shingles there are bounds what two texts can have in common, and so
    do SIGNATURE parities of each text's shingles: every parity that differs stands for a shingle that one of the two lacks. Pairs that
-   cannot reach ``least`` by these bounds go at once, all others are verified on all their shingles (64-bit hashes). For some rounds each class
-   is paired, at every shingle where it meets others, with one neighbour of another group: by size first, then in a random
-   order. In the end every other pair that meets and is in different groups yet is verified too, and groups are final.
+   cannot reach ``least`` by these bounds go at once, all others are verified on all their shingles (64-bit hashes). First each class
+   is paired, at every shingle where it meets others, with its neighbours by size and in a random order; with the links
+   of step 1 that makes groups. Then every other pair that meets and is in different groups yet is verified too, and groups are final.
 3. Of each group the smallest doc_id stays.
 
 Shingles travel in blocks by hash: 14 bytes each to be counted, and only those of two texts or more come back. A task holds one
 block of about HELD shingles, or the classes that meet at one shingle (some 100 bytes each). A shingle at which more than BIG meet (a large
-family) is split: in the rounds into random parts, others in each round; in the end its largest group is dealt out over parts, and all
+family) is split: first into random parts, others for each order; in the end its largest group is dealt out over parts, and all
 others stand in each of them. Nothing is collected.
 
 Defined results: a null text is empty; texts without words are alike; texts of fewer than five words have one
@@ -30,6 +29,8 @@ whatever their names. ``docs`` must be a table that reads the same way each time
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ WORDS, SIMILARITY = 5, 0.8
 SIGNATURE = 512
 #: Shingles that a block holds on average, and that a task sorts into blocks at once.
 HELD, SORT = 1 << 19, 1 << 19
-#: Rounds in which neighbours are paired before all pairs are.
+#: Orders in which neighbours are paired before all pairs are.
 ROUNDS = 2
 #: Rows that met, and pairs, that are worked through together; rows at one shingle from which they are split.
 MEET, BIG = 1 << 16, 1 << 18
@@ -429,10 +430,10 @@ def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataF
             label = shared.materialise(graph.components(links.union(label.select(F.col("node").alias("a"), F.col("root").alias("b")))))
         shared.release(spark)
 
-    verify(near)
-    for turn in (*range(ROUNDS), None):
-        rooted = met.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        verify(pairs_between(rooted, least, turn).distinct())
+    alone = met.withColumn("root", F.col("id"))
+    verify(reduce(DataFrame.union, (pairs_between(alone, least, turn) for turn in range(ROUNDS)), near).distinct())
+    grouped = met.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    verify(pairs_between(grouped, least).distinct())
     first = classes.select("id", "first")
     grouped = label.join(first, label["node"] == first["id"]).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("id"))
     lone = first.join(label.select(F.col("node").alias("id")), "id", "left_anti").select("id")
